@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .decontamination import op10_benchmark_decontamination
 from .packing import op7_best_fit_packing
+from .pii import op2_information_theoretic_pii
 from .quality import op3_quality_classifier
 from .simhash import op4_simhash_near_dedup
 from .token_count import op8_token_counts
 
 QUERIES = {
+    "op2_information_theoretic_pii": op2_information_theoretic_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
