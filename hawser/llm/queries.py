@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from .decontamination import op10_benchmark_decontamination
+from .order_minhash import op6_order_minhash
 from .packing import op7_best_fit_packing
 from .pii import op2_information_theoretic_pii
 from .quality import op3_quality_classifier
 from .simhash import op4_simhash_near_dedup
 from .token_count import op8_token_counts
+from .url_filter import op9_url_filter
 
 QUERIES = {
     "op2_information_theoretic_pii": op2_information_theoretic_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_order_minhash": op6_order_minhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filter": op9_url_filter,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 

@@ -4,6 +4,8 @@ Tier one is a compact table, broadcast once, of the pre-tokens that the vocabula
 vocabulary lists the frequent words of what it was built from, so no pass over the corpus and no shuffle of
 pre-tokens is needed to find them. Tier two is a bounded cache in each Python worker, which keeps what tier one
 misses after the tokenizer has encoded it once. Neither tier changes a count: each entry is what the library gives.
+Misses of characters that all libraries class alike are merged by tiktoken's implementation of the same vocabulary,
+which takes a third of the time a piece; its ids are the same (tests hold them against the library).
 
 A text is cut only where the byte-level pre-tokenizer always cuts: before a single space that a non-space follows,
 and around white-space runs. Texts holding a special string of the tokenizer go to the library whole.
@@ -12,6 +14,8 @@ and around white-space runs. Texts holding a special string of the tokenizer go
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 
 import pandas as pd
 import regex
@@ -26,6 +30,9 @@ LIMIT = 512
 #: Entries of a worker's cache; when it is full it starts again from the broadcast table.
 CACHE_ENTRIES = 1 << 20
 
+#: Below this character (Latin, Greek, Cyrillic) the libraries' tables of letters and digits agree; newer ones differ above.
+_ALIKE = "\u0530"
+
 _RUN = regex.compile(r"(\s{2,})")
 _encoders: dict = {}
 
@@ -74,7 +81,26 @@ def frequent_pieces(spec_json: str) -> dict[str, bytes]:
 
 
 def ids_bytes(ids: list[int]) -> bytes:
-    return b"".join([i.to_bytes(4, "little") for i in ids])
+    """Ids as little-endian unsigned 32-bit integers."""
+    out = array("I", ids)
+    if sys.byteorder != "little":
+        out.byteswap()
+    return out.tobytes()
+
+
+def merging(spec: dict):
+    """tiktoken's encoder of the same vocabulary, or None where ids don't follow the order of merges."""
+    import public_tokenizers
+    import tiktoken
+
+    alphabet, vocab = byte_alphabet(), spec["model"]["vocab"]
+    merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in spec["model"]["merges"]]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    tokens = [t for t in vocab if t not in special]
+    if None in merged or merged != sorted(merged) or not all(c in alphabet for t in tokens for c in t):
+        return None
+    ranks = {bytes(alphabet[c] for c in t): vocab[t] for t in tokens}
+    return tiktoken.Encoding("same", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class _Pieces(dict):
@@ -89,7 +115,7 @@ class _Pieces(dict):
         if last in (".", ",") and len(piece) > 1 and piece[-2].isascii() and piece[-2].isalpha():
             ids = self[piece[:-1]] + self.tokenizer.bare[last]  # a letter and a mark never share a pre-token
         else:
-            ids = ids_bytes(self.tokenizer.library.encode(self.lead + piece, add_special_tokens=False).ids)
+            ids = ids_bytes(self.tokenizer.piece_ids(self.lead + piece))
         if len(self) >= self.limit:
             self.clear()
             self.update(self.first_tier)
@@ -109,9 +135,15 @@ class Encoder:
         self.library.no_padding()
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.two_tier = is_byte_level(spec)
+        self.merging = merging(spec) if self.two_tier else None
         self.bare = _Pieces(self, "", {}, cache_entries)
         self.spaced = _Pieces(self, " ", first_tier, cache_entries)
 
+    def piece_ids(self, piece: str) -> list[int]:
+        if self.merging and max(piece) < _ALIKE:
+            return self.merging.encode_ordinary(piece)
+        return self.library.encode(piece, add_special_tokens=False).ids
+
     def ids(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         if not text:
