@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op10_benchmark_decontamination
+from .html_extraction import op1_html_extraction
 from .order_minhash import op6_order_minhash
 from .packing import op7_best_fit_packing
 from .pii import op2_information_theoretic_pii
@@ -12,6 +13,7 @@ from .token_count import op8_token_counts
 from .url_filter import op9_url_filter
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_information_theoretic_pii": op2_information_theoretic_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
