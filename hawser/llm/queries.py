@@ -10,6 +10,7 @@ from .pii import op2_information_theoretic_pii
 from .quality import op3_quality_classifier
 from .simhash import op4_simhash_near_dedup
 from .token_count import op8_token_counts
+from .tool_calls import op5_tool_call_linking
 from .url_filter import op9_url_filter
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_information_theoretic_pii": op2_information_theoretic_pii,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_tool_call_linking": op5_tool_call_linking,
     "op6_order_minhash": op6_order_minhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
