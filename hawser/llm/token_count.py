@@ -28,7 +28,7 @@ from .common import table, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 512
 #: Entries of a worker's cache; when it is full it starts again from the broadcast table.
-CACHE_ENTRIES = 1 << 20
+CACHE_ENTRIES = 1 << 19
 
 #: Below this character (Latin, Greek, Cyrillic) the libraries' tables of letters and digits agree; newer ones differ above.
 _ALIKE = "\u0530"
