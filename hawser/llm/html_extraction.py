@@ -4,7 +4,7 @@ A page's tokens are its elements by role (the path of element names and classes
 article, its runs of text by role. Over the pages of a host each token has an occurrence vector: how often each page
 has it. Tokens with the same vector form an equivalence class; a class is valid when it is large (LEAST_TOKENS),
 frequent (LEAST_PAGES and LEAST_SHARE of the host's pages) and steady in order, and it is nested into the template
-where the element around it is in a valid class, too. What the template doesn't account for are its slots: the slots
+where the element around it is frequent, too. What the template doesn't account for are its slots: the slots
 below the article (or, on pages without one, those not below an element of boilerplate) hold the main text.
 
 Vectors are never built: their hash is an exclusive-or over pages, so counting is a partial aggregation and a host
@@ -214,9 +214,10 @@ def templates(pages: DataFrame, least_tokens: int = LEAST_TOKENS, least_pages: i
     size = source.groupBy("_host").agg(F.count("*").alias("host_pages"))
     same = ["_host", "vector", "pages", "total"]
     classes = vectors.groupBy(*same).agg(F.count("*").alias("members"), F.sum("steady").alias("in_order"))
-    classes = classes.join(size, "_host").where((F.col("members") >= least_tokens) & (2 * F.col("in_order") >= F.col("members")) & (F.col("pages") >= least_share * F.col("host_pages")))
-    valid = vectors.join(classes.select(*same), same)
-    elements = valid.where("is_text = 0").select("_host", F.col("token").alias("around"))
+    frequent = classes.join(size, "_host").where(F.col("pages") >= least_share * F.col("host_pages"))
+    valid = vectors.join(frequent.where((F.col("members") >= least_tokens) & (2 * F.col("in_order") >= F.col("members"))).select(*same), same)
+    # an element may repeat within its parent's slot and so be a small class of its own; it need only be frequent
+    elements = vectors.where("is_text = 0").join(frequent.select(*same), same).select("_host", F.col("token").alias("around"))
     return valid.where("is_text = 1").join(elements, ["_host", "around"], "left_semi").groupBy("_host").agg(F.collect_set("token").alias("template"))
 
 

@@ -108,7 +108,7 @@ def _buckets(docs: DataFrame, rows_per_bucket: int) -> Column:
         cuts = docs.agg(F.percentile_approx("doc_id", [i / 1000 for i in range(1, 1000)], 100_000)).first()[0]
         cuts = sorted(set(cuts))
         even, last = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))).cast("long"), len(cuts) + 1
-    return F.coalesce(even, F.lit(last).cast("long"))
+    return F.when(F.col("doc_id").isNotNull(), even).otherwise(F.lit(last).cast("long"))
 
 
 def fingerprint_with_edits(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

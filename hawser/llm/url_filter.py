@@ -29,6 +29,8 @@ SEEDS = [
     (1, "https://click-track.example.com/en/41"), (1, "https://banner-ads.example.org/fr/6"), (1, "https://spam-farm.example.com/en/10"),
     (1, "http://link-farm.example.org/links/3"), (1, "https://seo-spam.example.com/es/31"), (1, "https://free-download-crack.example.org/keygen"),
     (1, "http://warez-crack.example.com/download/2"), (1, "https://win-prize.example.org/lottery"), (1, "https://payday-loans.example.com/en/23"),
+    (1, "http://m.adult-video.example.org/en/21"), (1, "https://xxx-photos.example.com/en/8"), (1, "https://blog.casino-bonus.example.com/fr/2"),
+    (1, "https://www.track-ads.example.org/en/64"), (1, "http://pills-shop.example.com/en/9"), (1, "https://m.spam-links.example.org/en/17"),
     (0, "https://www.library.example.org/en/12"), (0, "http://blog.weather.example.com/en/3"), (0, "https://news.example.org/fr/18"),
     (0, "https://docs.python.example.org/en/7"), (0, "http://m.history.example.com/es/88?page=2&ref=x"), (0, "https://wiki.science.example.org/fr/5"),
     (0, "https://www.museum.example.com/en/25#top"), (0, "http://university.example.org/en/2"), (0, "https://m.garden.example.com/fr/4"),
