@@ -50,8 +50,9 @@ def read_inventories(spark: SparkSession, path: str, fmt: str = "json") -> DataF
     _corrupt set instead of failing the job. JSON is read by Spark; YAML (if PyYAML is there) is turned into it.
     """
     if fmt == "json":
-        reader = spark.read.schema(INVENTORY).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True)
-        return reader.json(path).withColumn("inventory_path", F.col("_metadata.file_path"))
+        raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
+        parsed = raw.select(F.col("_metadata.file_path").alias("inventory_path"), F.from_json("value", INVENTORY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("d"))
+        return parsed.select("d.*", "inventory_path")
     if fmt not in ("yaml", "yml"):
         raise ValueError(f"no inventory reader for {fmt}")
 
