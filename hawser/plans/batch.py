@@ -137,9 +137,9 @@ def _(spark, d):
     return inventory.bin_summaries(_batched(spark, d))
 
 
-@query("a03_bins_with_total", f"WITH {SQL_ARCHIVES}, s AS (SELECT {_FNV} + 1 AS suitcase_index, size FROM archives) SELECT suitcase_index, count(*) AS \"count\", CAST(sum(size) AS BIGINT) AS size FROM s GROUP BY ROLLUP (suitcase_index)")
+@query("a03_bins_with_total", f"WITH {SQL_ARCHIVES}, s AS (SELECT {_FNV} + 1 AS suitcase_index, size FROM archives) SELECT coalesce(suitcase_index, -1) AS suitcase_index, count(*) AS \"count\", CAST(sum(size) AS BIGINT) AS size FROM s GROUP BY ROLLUP (s.suitcase_index)")
 def _(spark, d):
-    return inventory.bins_with_total(_batched(spark, d))
+    return inventory.bins_with_total(_batched(spark, d)).withColumn("suitcase_index", F.coalesce("suitcase_index", F.lit(-1).cast("long")))
 
 
 @query("p01_suitcase_names", f"WITH {SQL_ARCHIVES}, s AS (SELECT DISTINCT {_FNV} + 1 AS i FROM archives) SELECT concat('suitcase-joe-', lpad(CAST(i AS VARCHAR), 2, '0'), '-of-16.tar.zst') AS suitcase_name FROM s")
@@ -320,11 +320,11 @@ def _(spark, d):
     return rounded(cost.lifecycle_savings(templates(spark), sizes), "current_usd", "optimised_usd", "annual_savings", "percent")
 
 
-@query("p06_custom_rules", f"WITH {SQL_ARCHIVES} SELECT concat('customer/', owner, '/', pattern, '/') AS prefix, concat('custom-customer/', owner, '/', pattern, '/') AS id, CASE pattern WHEN 'frequent' THEN '90:STANDARD_IA,365:GLACIER' WHEN 'infrequent' THEN '30:STANDARD_IA,90:GLACIER,365:DEEP_ARCHIVE' WHEN 'archive' THEN '0:GLACIER,90:DEEP_ARCHIVE' ELSE '0:INTELLIGENT_TIERING' END AS steps, CASE WHEN max(retention_days) > 0 THEN max(retention_days) END AS expiration FROM archives GROUP BY owner, pattern")
+@query("p06_custom_rules", f"WITH {SQL_ARCHIVES} SELECT concat('customer/', owner, '/', pattern, '/') AS prefix, concat('custom-customer/', owner, '/', pattern, '/') AS id, CASE pattern WHEN 'frequent' THEN '90:STANDARD_IA,365:GLACIER' WHEN 'infrequent' THEN '30:STANDARD_IA,90:GLACIER,365:DEEP_ARCHIVE' WHEN 'archive' THEN '0:GLACIER,90:DEEP_ARCHIVE' ELSE '0:INTELLIGENT_TIERING' END AS steps, max(retention_days) AS expiration FROM archives GROUP BY owner, pattern")
 def _(spark, d):
     patterns = archives(spark, d).groupBy("owner", "pattern").agg(F.max("retention_days").alias("retention_days")).select(F.concat(F.lit("customer/"), F.col("owner").cast("string"), F.lit("/"), "pattern", F.lit("/")).alias("prefix"), F.col("pattern").alias("frequency"), "retention_days")
     rules = cost.custom_rules(patterns)
-    return rules.select("prefix", "id", F.array_join(F.transform("transitions", lambda t: F.concat_ws(":", t["days"].cast("string"), t["class"])), ",").alias("steps"), "expiration")
+    return rules.select("prefix", "id", F.array_join(F.transform("transitions", lambda t: F.concat_ws(":", t["days"].cast("string"), t["class"])), ",").alias("steps"), F.coalesce("expiration", F.lit(0).cast("long")).alias("expiration"))
 
 
 @query("f08_rule_problems", "SELECT p_partkey, CASE WHEN p_size % 7 * 30 >= 90 THEN 'transitions must be in chronological order' WHEN p_partkey % 9 = 0 THEN 'invalid storage class' END AS problem FROM part")
@@ -430,11 +430,12 @@ def _(spark, d):
 
 
 @query("x20_predictions", f"""WITH {SQL_SAMPLES}, r AS (SELECT *, 1.0::DOUBLE - loss * 10.0::DOUBLE AS r, 64.0::DOUBLE / nullif(bandwidth, 0) * 0.75::DOUBLE AS base FROM samples)
-  SELECT sample_id, round(CASE WHEN bandwidth <= 0 THEN 3600.0::DOUBLE ELSE base + latency_ms / 1000.0::DOUBLE + congestion * base * 0.5::DOUBLE + (1.0::DOUBLE - r) * base * 0.3::DOUBLE + 2.0::DOUBLE END, 6) AS seconds,
-  round(greatest(bandwidth * (1.15::DOUBLE - congestion * 0.4::DOUBLE - (1.0::DOUBLE - r) * 0.2::DOUBLE), bandwidth * 0.1::DOUBLE), 6) AS throughput, round(greatest(least(r - 0.05::DOUBLE - congestion * 0.2::DOUBLE - least(latency_ms / 1000.0::DOUBLE, 0.1::DOUBLE), 0.99::DOUBLE), 0.1::DOUBLE), 6) AS success_probability,
-  round(least(CASE WHEN 64.0::DOUBLE / bandwidth < 10 THEN 0.4::DOUBLE WHEN 64.0::DOUBLE / bandwidth < 30 THEN 0.2::DOUBLE ELSE 0 END + r * 0.3::DOUBLE + (1.0::DOUBLE - congestion) * 0.2::DOUBLE + CASE WHEN latency_ms < 50 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE), 6) AS suitability, CASE WHEN bandwidth < 10 THEN 'zstd-max' ELSE 'zstd-fast' END AS codec FROM r""")
+  SELECT sample_id, round(CASE WHEN bandwidth <= 0 THEN 3600.0::DOUBLE ELSE base + latency_ms / 1000.0::DOUBLE + congestion * base * 0.5::DOUBLE + (1.0::DOUBLE - r) * base * 0.3::DOUBLE + 2.0::DOUBLE END, 9) AS seconds,
+  round(greatest(bandwidth * (1.15::DOUBLE - congestion * 0.4::DOUBLE - (1.0::DOUBLE - r) * 0.2::DOUBLE), bandwidth * 0.1::DOUBLE), 9) AS throughput, round(greatest(least(r - 0.05::DOUBLE - congestion * 0.2::DOUBLE - least(latency_ms / 1000.0::DOUBLE, 0.1::DOUBLE), 0.99::DOUBLE), 0.1::DOUBLE), 9) AS success_probability,
+  round(least(CASE WHEN 64.0::DOUBLE / bandwidth < 10 THEN 0.4::DOUBLE WHEN 64.0::DOUBLE / bandwidth < 30 THEN 0.2::DOUBLE ELSE 0 END + r * 0.3::DOUBLE + (1.0::DOUBLE - congestion) * 0.2::DOUBLE + CASE WHEN latency_ms < 50 THEN 0.1::DOUBLE ELSE 0 END, 1.0::DOUBLE), 9) AS suitability, CASE WHEN bandwidth < 10 THEN 'zstd-max' ELSE 'zstd-fast' END AS codec FROM r""")
 def _(spark, d):
-    return rounded(transfer.predictions(samples(spark, d), 64 * MIB).drop("chunk_bytes"), "seconds", "throughput", "success_probability", "suitability")
+    p = transfer.predictions(samples(spark, d), 64 * MIB)
+    return p.select("sample_id", *(F.round(c, 9).alias(c) for c in ("seconds", "throughput", "success_probability", "suitability")), "codec")
 
 
 @query("f13_optimisation_needs", """WITH g AS (SELECT l_suppkey, avg(l_discount) * 10 AS utilisation, avg(l_tax) * 10 AS congestion, avg(l_quantity) AS available FROM lineitem GROUP BY 1),
@@ -571,10 +572,11 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(content.compression_estimate((F.col("p_size") % 9).cast("double"), kind), 6).alias("saved"))
 
 
-@query("a20_pattern_profile", "WITH p AS (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 8.0::DOUBLE ELSE 3.0::DOUBLE END AS e, CASE l_linenumber % 4 WHEN 0 THEN 0.6::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.05::DOUBLE ELSE 0.7::DOUBLE END AS r, CAST(l_quantity AS BIGINT) AS l, l_discount AS f FROM lineitem) SELECT l_orderkey, round(coalesce(sum(e * (l * f)) / nullif(sum(l * f), 0), 4.0::DOUBLE), 6) AS entropy, round(coalesce(sum(r * (l * f)) / sum(l), 0.3::DOUBLE), 6) AS ratio FROM p GROUP BY 1")
+@query("a20_pattern_profile", "WITH p AS (SELECT l_orderkey, CASE l_linenumber % 4 WHEN 0 THEN 4.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 8.0::DOUBLE ELSE 3.0::DOUBLE END AS e, CASE l_linenumber % 4 WHEN 0 THEN 0.6::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.05::DOUBLE ELSE 0.7::DOUBLE END AS r, CAST(l_quantity AS BIGINT) AS l, l_discount AS f FROM lineitem) SELECT l_orderkey, round(coalesce(sum(e * (l * f)) / nullif(sum(l * f), 0), 4.0::DOUBLE), 11) AS entropy, round(coalesce(sum(r * (l * f)) / sum(l), 0.3::DOUBLE), 11) AS ratio FROM p GROUP BY 1")
 def _(spark, d):
     kind = F.element_at(F.array(*map(F.lit, ["text", "repetitive", "random", "structured"])), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    return rounded(content.pattern_profile(table(spark, d, "lineitem").select("l_orderkey", kind.alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_discount").alias("frequency")), "l_orderkey"), "entropy", "ratio")
+    p = content.pattern_profile(table(spark, d, "lineitem").select("l_orderkey", kind.alias("type"), F.col("l_quantity").cast("long").alias("length"), F.col("l_discount").alias("frequency")), "l_orderkey")
+    return p.select("l_orderkey", F.round("entropy", 11).alias("entropy"), F.round("ratio", 11).alias("ratio"))
 
 
 @query("o04_top_boundaries", f"WITH {SQL_ARCHIVES} SELECT id, round((retention_days / 500.0::DOUBLE) * 0.3::DOUBLE + (owner % 100 / 100.0::DOUBLE) * 0.4::DOUBLE + CASE WHEN size // 100 BETWEEN 5242880 AND 104857600 THEN 0.3::DOUBLE ELSE 0 END, 6) AS score FROM archives ORDER BY score DESC, id LIMIT 10")

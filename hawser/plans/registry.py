@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batch, streams
+from . import batch, learning, streams
 
-QUERIES = batch.QUERIES | streams.QUERIES
-ORACLES = batch.ORACLES | streams.ORACLES
+QUERIES = batch.QUERIES | learning.QUERIES | streams.QUERIES
+ORACLES = batch.ORACLES | learning.ORACLES | streams.ORACLES
