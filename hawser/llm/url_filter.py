@@ -63,14 +63,17 @@ def longest_rule(rules=RULES) -> Column:
 
 
 def hashed_grams() -> Column:
-    """Buckets of the n-grams of host and path, each with marks of its own at both ends, repeats included."""
+    """Buckets of the n-grams of host and path, each with marks of its own at both ends, repeats included.
+
+    Digits count as one character, as page numbers say nothing of a site.
+    """
 
     def of(text: Column, n: int) -> Column:
         last = F.length(text) - n + 1
         at = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.pmod(F.xxhash64(F.substring(text, i, F.lit(n))), F.lit(BUCKETS)).cast("int"))
 
-    texts = [F.concat(F.lit("^"), F.col("host"), F.lit("$")), F.concat(F.lit("<"), F.col("path"), F.lit(">"))]
+    texts = [F.translate(F.concat(F.lit(a), F.col(c), F.lit(b)), "123456789", "000000000") for c, a, b in (("host", "^", "$"), ("path", "<", ">"))]
     return F.concat(*(of(t, n) for t in texts for n in GRAMS))
 
 
