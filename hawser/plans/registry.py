@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import batch, learning, streams
+from . import batch, control, learning, streams
 
-QUERIES = batch.QUERIES | learning.QUERIES | streams.QUERIES
-ORACLES = batch.ORACLES | learning.ORACLES | streams.ORACLES
+QUERIES = batch.QUERIES | learning.QUERIES | control.QUERIES | streams.QUERIES
+ORACLES = batch.ORACLES | learning.ORACLES | control.ORACLES | streams.ORACLES
