@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MIB, bounded, ladder, network_condition, truncated
+from .folds import fold
 
 
 def session_results(chunks: DataFrame, key: str) -> DataFrame:
@@ -76,10 +77,18 @@ def throughput(groups: DataFrame, seconds: float) -> DataFrame:
 
 def network_profile(samples: DataFrame, start: float = 10.0, rate: float = 0.1) -> DataFrame:
     """Per link: an estimate that only new peaks raise (by `rate` of the difference), least latency, and confidence."""
-    rows = F.sort_array(F.collect_list(F.struct("ts", "sample_id", "bandwidth")))
-    per = samples.groupBy("link").agg(rows.alias("_r"), F.min(F.when(F.col("latency_ms") > 0, F.col("latency_ms"))).alias("baseline_ms"), F.least(F.lit(0.5) + 0.01 * F.count("*"), F.lit(1.0)).alias("confidence"))
-    up = lambda m, x: F.when(x["bandwidth"] > m, (1 - rate) * m + rate * x["bandwidth"]).otherwise(m)
-    return per.select("link", F.aggregate("_r", F.lit(start), up).alias("estimate"), "baseline_ms", "confidence")
+
+    def step(state, row):
+        estimate, least, n = state
+        if row.bandwidth > estimate:
+            estimate = (1 - rate) * estimate + rate * row.bandwidth
+        if row.latency_ms > 0 and (least is None or row.latency_ms < least):
+            least = row.latency_ms
+        return (estimate, least, n + 1), []
+
+    close = lambda s: [(s[0], s[1], min(0.5 + 0.01 * s[2], 1.0))]
+    rows = samples.select("link", "ts", "sample_id", "bandwidth", "latency_ms")
+    return fold(rows, "link", ["ts", "sample_id"], lambda: (start, None, 0), step, close, "link long, estimate double, baseline_ms double, confidence double")
 
 
 def adaptation_scores(rows: DataFrame) -> DataFrame:
@@ -163,21 +172,19 @@ def pattern_boundaries(patterns: DataFrame, key: str, target: int) -> DataFrame:
     the last cut holds target/2 to 3 x target, and at ends of patterns over 0.8 compressible. The cut position is
     carried along a key's patterns in order.
     """
-    rows = F.sort_array(F.collect_list(F.struct("offset", "length", "type", "compressibility")))
-    per = patterns.groupBy(key).agg(rows.alias("_p"))
-    kind = "struct<start: bigint, stop: bigint, why: string>"
-
-    def step(acc: Column, x: Column) -> Column:
-        size = x["offset"] - acc["start"]
-        changed = acc["last"].isNotNull() & (x["type"] != acc["last"]) & size.between(target // 2, 3 * target)
-        start = F.when(changed, x["offset"]).otherwise(acc["start"])
-        end = x["offset"] + x["length"]
-        first = F.when(changed, F.array(F.struct(acc["start"].alias("start"), x["offset"].alias("stop"), F.lit("transition").alias("why")))).otherwise(F.array().cast(f"array<{kind}>"))
-        second = F.when((x["compressibility"] > 0.8) & (end - start >= target // 2), F.array(F.struct(start.alias("start"), end.alias("stop"), F.lit("compressible").alias("why")))).otherwise(F.array().cast(f"array<{kind}>"))
-        return F.struct(start.alias("start"), x["type"].alias("last"), F.concat(acc["found"], first, second).alias("found"))
-
-    seed = F.struct(F.lit(0).cast("long").alias("start"), F.lit(None).cast("string").alias("last"), F.array().cast(f"array<{kind}>").alias("found"))
-    return per.select(key, F.explode(F.aggregate("_p", seed, step, lambda a: a["found"])).alias("b")).select(key, "b.start", "b.stop", "b.why")
+
+    def step(state, row):
+        start, last, found = *state, []
+        if last is not None and row.type != last and target // 2 <= row.offset - start <= 3 * target:
+            found.append((start, row.offset, "transition"))
+            start = row.offset
+        end = row.offset + row.length
+        if row.compressibility > 0.8 and end - start >= target // 2:
+            found.append((start, end, "compressible"))
+        return (start, row.type), found
+
+    rows = patterns.select(key, "offset", "length", "type", "compressibility")
+    return fold(rows, key, ["offset", "length", "type"], lambda: (0, None), step, lambda s: [], f"{key} long, start long, stop long, why string")
 
 
 def alternatives(per_link: DataFrame, samples: DataFrame) -> DataFrame:

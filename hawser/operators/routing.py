@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ladder, priority_factor
+from .folds import fold
 
 
 def available(regions: DataFrame, most_used: float | None = None) -> DataFrame:
@@ -48,20 +49,18 @@ def route(requests: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def sticky(requests: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
-    """Region of the session that a request falls into: a session lives `ttl_seconds` from its first request.
-
-    Sessions of a key follow one another in time, so they are a fold over the key's ordered requests.
+    """Region of the session that each request (key, ts, id, region) falls into, and when that session began: a session
+    takes the region of its first request and lives `ttl_seconds` from it, however often it is used.
     """
-    rows = F.sort_array(F.collect_list(F.struct("ts", "id", "region")))
 
-    def step(acc, x):
-        fresh = (F.size(acc) == 0) | (x["ts"].cast("timestamp").cast("double") - F.element_at(acc, -1)["start"].cast("timestamp").cast("double") > ttl_seconds)
-        of = F.when(fresh, F.struct(x["id"].alias("id"), x["ts"].alias("start"), x["region"].alias("region")))
-        return F.array_append(acc, F.coalesce(of, F.struct(x["id"].alias("id"), F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["region"].alias("region"))))
+    def step(state, row):
+        if state is None or (row.ts - state[0]).total_seconds() > ttl_seconds:
+            state = (row.ts, row.region)
+        return state, [(row.id, *state)]
 
-    per = requests.groupBy(key).agg(rows.alias("_r"))
-    empty = F.array().cast(f"array<struct<id: bigint, start: {dict(requests.dtypes)['ts']}, region: {dict(requests.dtypes)['region']}>>")
-    return per.select(key, F.explode(F.aggregate("_r", empty, step)).alias("s")).select(key, "s.id", "s.start", "s.region")
+    rows = requests.select(key, "ts", "id", "region")
+    kinds = dict(rows.dtypes)
+    return fold(rows, key, ["ts", "id"], lambda: None, step, lambda s: [], f"{key} {kinds[key]}, id {kinds['id']}, start {kinds['ts']}, region string")
 
 
 def quorum(writes: DataFrame, key: str, degraded: bool = False) -> DataFrame:

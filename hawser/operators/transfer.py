@@ -82,14 +82,16 @@ def overall_trend(per_link: DataFrame) -> DataFrame:
 
 
 def smoothed(samples: DataFrame, alpha: float = 0.1) -> DataFrame:
-    """Per link: exponential mean of bandwidth seeded with the first value, and the running peak.
+    """Per link: exponential mean of bandwidth seeded with the first value, and the peak.
 
-    alpha*(1-alpha)**age sums over ages, taken in order: the fold runs over each link's own sorted samples.
+    The mean is a weighted sum, alpha * (1 - alpha)**age and (1 - alpha)**age for the first, so it adds up partially
+    once ages are known.
     """
-    rows = F.sort_array(F.collect_list(F.struct("ts", "sample_id", "bandwidth")))
-    per = samples.groupBy("link").agg(rows.alias("_r"))
-    fold = F.aggregate(F.slice("_r", 2, F.greatest(F.size("_r") - 1, F.lit(1))), F.col("_r")[0]["bandwidth"], lambda m, x: alpha * x["bandwidth"] + (1 - alpha) * m)
-    return per.select("link", F.when(F.size("_r") > 1, fold).otherwise(F.col("_r")[0]["bandwidth"]).alias("smoothed"), F.array_max(F.transform("_r", lambda x: x["bandwidth"])).alias("peak"))
+    back = F.row_number().over(Window.partitionBy("link").orderBy(F.desc("ts"), F.desc("sample_id")))
+    rows = samples.select("link", "bandwidth", (back - 1).alias("_age"), F.count("*").over(Window.partitionBy("link")).alias("_n"))
+    faded = F.pow(F.lit(1 - alpha), F.col("_age"))
+    weight = F.when(F.col("_age") == F.col("_n") - 1, faded).otherwise(alpha * faded)
+    return rows.groupBy("link").agg(F.sum(F.col("bandwidth") * weight).alias("smoothed"), F.max("bandwidth").alias("peak"))
 
 
 def peak_within(samples: DataFrame, interval: str = "INTERVAL '10' SECOND") -> DataFrame:

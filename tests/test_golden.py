@@ -180,3 +180,21 @@ def test_selection(spark):
     regions = spark.createDataFrame([("a", 1, "healthy"), ("b", 2, "offline"), ("c", 3, "degraded"), ("d", 4, "healthy")], "name string, priority long, status string")
     assert [r.name for r in routing.select_regions(regions, "d", 2).orderBy("rank").collect()] == ["d", "a"]
     assert [r.name for r in routing.select_regions(regions, "b", 3).orderBy("rank").collect()] == ["a", "c", "d"]
+
+
+def test_sticky_sessions(spark):
+    import datetime as dt
+
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("u", at(0), 1, "a"), ("u", at(50), 2, "b"), ("u", at(60), 3, "c"), ("u", at(61), 4, "d"), ("u", at(100), 5, "e"), ("v", at(10), 6, "f")]
+    df = spark.createDataFrame(rows, "u string, ts timestamp_ntz, id long, region string")
+    assert {r.id: r.region for r in routing.sticky(df, "u", 60).collect()} == {1: "a", 2: "a", 3: "a", 4: "d", 5: "d", 6: "f"}
+
+
+def test_pattern_boundaries(spark):
+    from hawser.operators import history
+
+    rows = [(1, 0, 30, "text", 0.5), (1, 30, 30, "random", 0.1), (1, 60, 50, "repetitive", 0.9), (2, 0, 10, "text", 0.9)]
+    df = spark.createDataFrame(rows, "k long, offset long, length long, type string, compressibility double")
+    got = sorted((r.k, r.start, r.stop, r.why) for r in history.pattern_boundaries(df, "k", 40).collect())
+    assert got == [(1, 0, 30, "transition"), (1, 30, 60, "transition"), (1, 60, 110, "compressible")]
