@@ -101,7 +101,6 @@ def links(nodes: DataFrame, most: int = MOST_BITS, groups: int = GROUPS, crowd:
     if most != 2:
         raise ValueError("crowds are linked through words at one bit, which is exact for two differing bits")
     references = pivots()
-    n = len(references)
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted by key. Pairs of a key's fingerprints that survive; crowds as (fp, null) rows."""
@@ -144,7 +143,6 @@ def links(nodes: DataFrame, most: int = MOST_BITS, groups: int = GROUPS, crowd:
     shared = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
     rows = rows.join(shared, "key", "left_semi")
     met = cut(rows.repartition("key", "choice").sortWithinPartitions("choice", "key").select("choice", "key", "fp", "d").mapInPandas(meet, "a long, b long").distinct())
-    assert n == len(references)
     crowds = met.where("b is null").select(F.col("a").alias("fp"))
     near = crowds.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))).alias("word"))
     # at most 65 fingerprints lie within one bit of a word
