@@ -26,4 +26,21 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+#: Of the ten, only linking can be written in SQL; the others need models, tokenizers or hashes that DuckDB lacks.
+ORACLES: dict[str, str] = {
+    "op5_tool_call_linking": """
+WITH RECURSIVE u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+l(conv_id, turn, level) AS (
+  SELECT conv_id, turn, CAST(0 AS BIGINT) FROM u WHERE NOT EXISTS (SELECT 1 FROM u p WHERE p.conv_id = u.conv_id AND p.turn = u.turn - 2)
+  UNION ALL SELECT u.conv_id, u.turn, l.level + 1 FROM l JOIN u ON u.conv_id = l.conv_id AND u.turn = l.turn + 2)
+SELECT u.conv_id, u.turn, concat(u.conv_id, ':', u.turn) AS call_id, 'reply' AS tool, l.level, CASE WHEN a.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status, '' AS problems, CAST(0 AS BIGINT) AS repeated,
+  concat('{"arguments":{"prompt":', to_json(u.text), ',"turn":', u.turn, '},"id":"', u.conv_id, ':', u.turn, '","level":', l.level, ',"name":"reply",',
+         CASE WHEN a.turn IS NULL THEN '' ELSE concat('"result":{"text":', to_json(a.text), '},') END, '"status":"', CASE WHEN a.turn IS NULL THEN 'unanswered' ELSE 'ok' END, '"}') AS json
+FROM u JOIN l USING (conv_id, turn) LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+UNION ALL
+SELECT a.conv_id, a.turn, concat(a.conv_id, ':', a.turn - 1), NULL, NULL, 'orphan', NULL, 0, concat('{"id":"', a.conv_id, ':', a.turn - 1, '","result":{"text":', to_json(a.text), '},"status":"orphan"}')
+FROM a WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = a.conv_id AND u.turn = a.turn - 1)
+UNION ALL
+SELECT conv_id, turn, NULL, NULL, NULL, 'message', NULL, 0, concat('{"content":', to_json(text), ',"role":', to_json(role), '}') FROM conversations WHERE role NOT IN ('user', 'assistant')""",
+}
