@@ -73,6 +73,13 @@ def _(spark, d):
     return streams.finished(streams.failover_stream(_as_samples(streams.events_stream(spark, d))), "failovers")
 
 
+@query("t15_sticky_stream")
+def _(spark, d):
+    events = streams.events_stream(spark, d)
+    requests = events.select(F.col("user_id").alias("key"), "ts", (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_id").alias("id"), F.concat(F.lit("NATION_"), (F.col("event_id") % 25).cast("string")).alias("region"))
+    return streams.finished(streams.sticky_stream(requests, 86400.0), "sticky").select("key", "id", "region")
+
+
 @query("t18_running_counters", f"WITH {SQL_SAMPLES} SELECT sample_id, count(*) OVER w AS done, count(*) FILTER (NOT success) OVER w AS errors FROM samples WINDOW w AS (PARTITION BY link ORDER BY ts, sample_id ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     from pyspark.sql import Window

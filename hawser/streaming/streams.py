@@ -162,6 +162,31 @@ def failover_stream(samples: DataFrame, attempts: int = 3) -> DataFrame:
     return samples.groupBy("link").applyInPandasWithState(run, "link long, sample_id long, event string, failures int", "failures int, down boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+# Sticky routing ------------------------------------------------------------------------------------------------------
+
+
+def sticky_stream(requests: DataFrame, ttl_seconds: float) -> DataFrame:
+    """Region of the session that each request (key, at, id, region) falls into. A session lives `ttl_seconds` from its
+    first request; when the watermark on ts has passed that, its state is dropped.
+    """
+
+    def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        session, rows = state.get if state.exists else None, []
+        for r in pd.concat(list(pdfs)).sort_values(["at", "id"]).itertuples():
+            if session is None or r.at - session[0] > ttl_seconds:
+                session = (r.at, r.region)
+            rows.append((key[0], r.id, *session))
+        state.update(session)
+        state.setTimeoutTimestamp(max(int((session[0] + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["key", "id", "start", "region"])
+
+    marked = requests.withWatermark("ts", WATERMARK)
+    return marked.groupBy("key").applyInPandasWithState(run, "key long, id long, start double, region string", "start double, region string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def upsert_latest(stream: DataFrame, keys: list[str], order: str, folder: str):
     """foreachBatch sink: a Parquet table per batch of the latest row of each key; read the table with latest()."""
 

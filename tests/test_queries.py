@@ -41,3 +41,8 @@ def test_stream_equals_batch(spark, small):
     stream = {r.sample_id: tuple(r) for r in registry.QUERIES["t01_congestion_stream"](spark, small).collect()}
     batch = {r.sample_id: tuple(r) for r in registry.QUERIES["t01_congestion_batch"](spark, small).collect()}
     assert stream == batch and stream
+
+
+def test_sticky_stream_equals_batch(spark, small):
+    stream = {r.id: r.region for r in registry.QUERIES["t15_sticky_stream"](spark, small).collect()}
+    assert stream == {r.id: r.region for r in registry.QUERIES["t15_sticky_sessions"](spark, small).collect()} and stream
