@@ -20,8 +20,8 @@ from .token_count import SharedTokenizer, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows of one length that are ranked in one task at most, about; larger lengths are salted.
-ROWS_PER_RANK_GROUP = 50_000
+#: Rows of one length that are ranked together, about; each length is salted into groups of this size.
+ROWS_PER_RANK_GROUP = 1_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACES = "length long, first_rank long, n long, first_bin long, per_bin long, first_offset long"
@@ -127,14 +127,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_group: int = ROWS
     """`pieces` (rows with doc_id, piece and length) with sequence_id and offset, by best fit decreasing.
 
     Only the histogram of lengths comes to the driver. Ranks within a length are counted in salted groups and added
-    up, so that a length which a third of all rows share is not ranked in one task. Repeated rows are packed each
-    for itself; an empty table packs into nothing.
+    up, so that a length which a third of all rows share is not ranked in one task; a length has as many groups as
+    its rows need. Repeated rows are packed each for itself; an empty table packs into nothing.
     """
     spark, own = pieces.sparkSession, pieces.columns
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = best_fit_decreasing(counts, capacity)
-    salts = max(1, math.ceil(max(counts.values(), default=1) / rows_per_group))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salts = F.array(*(F.lit(max(1, math.ceil(counts.get(n, 0) / rows_per_group))) for n in range(1, capacity + 1)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.element_at(salts, F.col("length").cast("int"))))
     in_group = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).select(
