@@ -1,11 +1,14 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
-A page's tokens are its elements by role (the path of element names and classes that leads to them) and, outside the
-article, its runs of text by role. Over the pages of a host each token has an occurrence vector: how often each page
+A page's tokens are its elements by role (the path of element names and classes that leads to them) and its runs of
+text by role. Over the pages of a host each token has an occurrence vector: how often each page
 has it. Tokens with the same vector form an equivalence class; a class is valid when it is large (LEAST_TOKENS),
 frequent (LEAST_PAGES and LEAST_SHARE of the host's pages) and steady in order, and it is nested into the template
-where the element around it is frequent, too. What the template doesn't account for are its slots: the slots
-below the article (or, on pages without one, those not below an element of boilerplate) hold the main text.
+where the element around it is frequent, too. Text below an article is template only where most text of its role is:
+a role that mostly varies is a slot, and what pages share in it is their own. What the template doesn't account for are
+its slots: those below the article, or all on pages without one, hold the main text. Names of elements and classes
+tell boilerplate where a host has too few pages for a template; on other hosts, names of elements only choose among
+the slots of a page without article.
 
 Vectors are never built: their hash is an exclusive-or over pages, so counting is a partial aggregation and a host
 that holds a third of all pages costs no more than others.
@@ -38,10 +41,9 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 _MAIN = frozenset("article main".split())
-_BOILERPLATE = frozenset(
-    "aside audio button canvas dialog fieldset footer form head header iframe input menu nav noembed noframes noscript object option script select style "
-    "svg template textarea title video xmp".split()
-)
+_NO_TEXT = frozenset("audio button canvas dialog head iframe input noembed noframes noscript object option script select style svg template textarea title video xmp".split())
+_ASIDE = frozenset("aside fieldset footer form header menu nav".split())
+_BOILERPLATE = _NO_TEXT | _ASIDE
 _BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertisements advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright "
     "disqus foot footer header login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted "
@@ -59,7 +61,9 @@ _WORD = re.compile(r"[a-z0-9]+")
 class Block:
     role: str
     in_main: bool
-    boilerplate: bool
+    boilerplate: bool  # by element or class, or no text at all
+    aside: bool  # by element
+    no_text: bool  # hidden, or in an element that shows no text
     parts: list[str] = field(default_factory=list)
     linked: list[bool] = field(default_factory=list)
 
@@ -71,15 +75,15 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("name", "role", "in_main", "boilerplate", "link")
+    __slots__ = ("name", "role", "in_main", "boilerplate", "aside", "no_text", "link")
 
-    def __init__(self, name, role, in_main, boilerplate, link):
-        self.name, self.role, self.in_main, self.boilerplate, self.link = name, role, in_main, boilerplate, link
+    def __init__(self, name, role, in_main, boilerplate, aside, no_text, link):
+        self.name, self.role, self.in_main, self.boilerplate, self.aside, self.no_text, self.link = name, role, in_main, boilerplate, aside, no_text, link
 
 
 def parse(page: str) -> tuple[list[Block], list[str]]:
     """Blocks of text in page order, and the role of every element."""
-    stack, blocks, roles = [_Open("", "", False, False, False)], [], []
+    stack, blocks, roles = [_Open("", "", False, False, False, False, False)], [], []
     block: Block | None = None
     at, end, lowered = 0, len(page), None
 
@@ -89,7 +93,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
         if block is None:
             if not raw.strip():
                 return
-            block = Block(top.role, top.in_main, top.boilerplate)
+            block = Block(top.role, top.in_main, top.boilerplate, top.aside, top.no_text)
             blocks.append(block)
         block.parts.append(entities.unescape(raw))
         block.linked.append(top.link)
@@ -142,8 +146,10 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
                     label = f"{name}.{found[0]}"
         hidden = bool(attributes) and bool(_HIDDEN.search(attributes))
         role = top.role if name in _INLINE else f"{top.role}>{label}"
-        boilerplate = top.boilerplate or name in _BOILERPLATE or hidden or (name not in ("html", "body", "article", "main") and not words.isdisjoint(_BOILERPLATE_WORDS))
-        if boilerplate and not top.boilerplate:
+        no_text = top.no_text or name in _NO_TEXT or hidden
+        aside = top.aside or name in _ASIDE
+        boilerplate = top.boilerplate or aside or no_text or (name not in ("html", "body", "article", "main") and not words.isdisjoint(_BOILERPLATE_WORDS))
+        if (boilerplate and not top.boilerplate) or (no_text and not top.no_text):
             block = None
         roles.append(role if name not in _INLINE else f"{role}~{name}")
         if name in _VOID:
@@ -152,7 +158,7 @@ def parse(page: str) -> tuple[list[Block], list[str]]:
             close = re.compile(f"</{name}", re.I).search(page, at)
             at = close.start() if close else end
         elif not attributes.endswith("/") or name in _INLINE or name in _BOILERPLATE:
-            stack.append(_Open(name, role, top.in_main or name in _MAIN and not boilerplate, boilerplate, top.link or name == "a"))
+            stack.append(_Open(name, role, top.in_main or name in _MAIN and not (aside or no_text), boilerplate, aside, no_text, top.link or name == "a"))
     if at < end:
         add(page[at:])
     return blocks, roles
@@ -162,24 +168,35 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
 
-def tokens(page: str) -> tuple[list[int], list[int], list[int]]:
-    """Hashes of a page's tokens in order, of the element around each, and 1 for those that are text."""
+def tokens(page: str) -> list[tuple[int, int, int]]:
+    """A page's tokens in order: hash, hash of the element around, and their kind.
+
+    Kinds are 0 for elements, 1 for text, 2 for text below an article, and 3 for the marks that count a role's texts.
+    """
     blocks, roles = parse(page)
     out = [(_hash(r), _hash(r.rpartition(">")[0]), 0) for r in roles]
-    out += [(_hash(f"{b.role}|{b.text()}"), _hash(b.role), 1) for b in blocks if not b.in_main]
-    return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
+    for b in blocks:
+        if not b.no_text:
+            out += [(_hash(f"{b.role}|{b.text()}"), _hash(b.role), 2 if b.in_main else 1), (_hash(f"{b.role}#"), _hash(b.role), 3)]
+    return out
 
 
-def main_text(page: str, template: frozenset[int]) -> str:
-    """Text of the slots below the article; without one, of all slots that are neither boilerplate nor links only."""
-    blocks, _ = parse(page)
-    slots = [b for b in blocks if not b.boilerplate]
-    if any(b.in_main for b in slots):
+def main_text(page: str, template: frozenset[int], few_pages: bool = True) -> str:
+    """Text of the slots below the article; without one, of all slots.
+
+    Where a host has `few_pages`, marked elements and classes and, without an article, links alone are no slots.
+    """
+    blocks = [b for b in parse(page)[0] if not b.no_text]
+    slots = [b for b in blocks if not (few_pages and b.boilerplate)]
+    in_main = any(b.in_main for b in slots)
+    if in_main:
         slots = [b for b in slots if b.in_main]
-    else:
-        open_slots = [b for b in slots if not b.only_links()]
-        varying = [b for b in open_slots if _hash(f"{b.role}|{b.text()}") not in template]
-        slots = varying or open_slots  # all pages of a host the same: no telling template from text
+    elif few_pages:
+        slots = [b for b in slots if not b.only_links()]
+    varying = [b for b in slots if _hash(f"{b.role}|{b.text()}") not in template]
+    slots = varying or slots  # all pages of a host the same: no telling template from text
+    if not in_main and not few_pages:
+        slots = [b for b in slots if not b.aside] or slots
     return " ".join(t for b in slots if (t := b.text()))
 
 
@@ -188,37 +205,43 @@ def host_of(url: str = "url"):
 
 
 def templates(pages: DataFrame, least_tokens: int = LEAST_TOKENS, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(_host, template): hashes of the text tokens in each host's template, at most a few for each page's length."""
+    """(_host, template) of each host of `least_pages` or more: hashes of its template's texts, at most a few for each page's length."""
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, page, key in zip(batch["_host"], batch["html"], batch["_page"], strict=True):
-                found, around, is_text = tokens(page)
-                counts, kind, parent = Counter(found), dict(zip(found, is_text, strict=True)), dict(zip(found, around, strict=True))
+                found = tokens(page)
+                counts, about = Counter(token for token, _, _ in found), {token: (around, kind) for token, around, kind in found}
                 before = 0
-                for token in dict.fromkeys(found):
-                    rows.append((host, token, parent[token], kind[token], counts[token], before, key))
-                    if counts[token] == 1:
+                for token, (around, kind) in about.items():
+                    rows.append((host, token, around, kind, counts[token], before, key))
+                    if counts[token] == 1 and kind < 3:
                         before = token
-            yield pd.DataFrame(rows, columns=["_host", "token", "around", "is_text", "n", "before", "_page"])
+            yield pd.DataFrame(rows, columns=["_host", "token", "around", "kind", "n", "before", "_page"])
 
     source = pages.select(host_of().alias("_host"), F.coalesce("html", F.lit("")).alias("html"), F.xxhash64("page_id", "url", "html").alias("_page"))
-    found = source.mapInPandas(occurrences, "_host string, token long, around long, is_text int, n int, before long, _page long")
+    found = source.mapInPandas(occurrences, "_host string, token long, around long, kind int, n int, before long, _page long")
     vectors = found.groupBy("_host", "token").agg(
-        F.bit_xor(F.xxhash64("_page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.max("is_text").alias("is_text"),
+        F.bit_xor(F.xxhash64("_page", "n")).alias("vector"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.max("kind").alias("kind"),
         F.min("around").alias("around"), (F.min("before") == F.max("before")).cast("int").alias("steady"),
     )
     # single pages' own text makes no class; the rest is read more than once
     vectors = cut(vectors.where(F.col("pages") >= least_pages))
-    size = source.groupBy("_host").agg(F.count("*").alias("host_pages"))
+    size = source.groupBy("_host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= least_pages)
     same = ["_host", "vector", "pages", "total"]
-    classes = vectors.groupBy(*same).agg(F.count("*").alias("members"), F.sum("steady").alias("in_order"))
+    members = vectors.where("kind < 3")
+    classes = members.groupBy(*same).agg(F.count("*").alias("members"), F.sum("steady").alias("in_order"))
     frequent = classes.join(size, "_host").where(F.col("pages") >= least_share * F.col("host_pages"))
-    valid = vectors.join(frequent.where((F.col("members") >= least_tokens) & (2 * F.col("in_order") >= F.col("members"))).select(*same), same)
+    valid = members.join(frequent.where((F.col("members") >= least_tokens) & (2 * F.col("in_order") >= F.col("members"))).select(*same), same)
     # an element may repeat within its parent's slot and so be a small class of its own; it need only be frequent
-    elements = vectors.where("is_text = 0").join(frequent.select(*same), same).select("_host", F.col("token").alias("around"))
-    return valid.where("is_text = 1").join(elements, ["_host", "around"], "left_semi").groupBy("_host").agg(F.collect_set("token").alias("template"))
+    elements = members.where("kind = 0").join(frequent.select(*same), same).select("_host", F.col("token").alias("around"))
+    texts = valid.where("kind > 0").join(elements, ["_host", "around"], "left_semi").select("_host", "around", "token", "kind", "total")
+    all_of = vectors.where("kind = 3").select("_host", "around", F.col("total").alias("of_role"))
+    shared = texts.groupBy("_host", "around").agg(F.sum("total").alias("shared")).join(all_of, ["_host", "around"])
+    mostly = shared.where("2 * shared > of_role").select("_host", "around", F.lit(True).alias("mostly"))
+    template = texts.join(mostly, ["_host", "around"], "left").where("kind = 1 or mostly").groupBy("_host").agg(F.collect_set("token").alias("template"))
+    return size.select("_host").join(template, "_host", "left").select("_host", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -231,7 +254,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     @F.pandas_udf(T.StringType())
     def text(html: pd.Series, template: pd.Series) -> pd.Series:
-        return pd.Series([main_text(h, frozenset(t) if t is not None else frozenset()) for h, t in zip(html, template, strict=True)], dtype=object)
+        return pd.Series([main_text(h, frozenset(t) if t is not None else frozenset(), t is None) for h, t in zip(html, template, strict=True)], dtype=object)
 
     own = [c for c in pages.columns if c not in ("text", "n_chars")]
     joined = pages.withColumn("_host", host_of()).join(checked_broadcast(found, size), "_host", "left")

@@ -53,3 +53,20 @@ def test_whole_table_against_plain_reading(spark, small):
         article = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S)[1]
         parts = re.split(r"</?(?:p|h1|br)[^>]*>", article)
         assert got[r.page_id] == " ".join(x for x in (" ".join(html.unescape(re.sub(r"</?b>", "", p)).split()) for p in parts) if x)
+
+
+def test_template_decides_below_articles(spark):
+    page = """<html><body><div class="top"><a href="/">Site</a></div><article><header><h1>Title {i}</h1></header><div class="x1">Join our letter today</div>
+<p>Own story {i}</p><div class="notice">Own warning {i}</div><p><a href="/{i}">Source {i}</a></p><div><span>Read more on Site</span></div></article><p>All rights kept</p></body></html>"""
+    rows = [(i, f"http://h.example/{i}", page.format(i=i)) for i in range(8)]
+    rows.append((50, "http://few.example/", page.format(i=50)))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert got[i] == f"Title {i} Own story {i} Own warning {i} Source {i}"
+    assert got[50] == "Join our letter today Own story 50 Source 50 Read more on Site"  # one page: names only
+
+
+def test_links_and_marked_slots_without_article(spark):
+    page = '<html><body><nav><a href="/">Site</a><p>Page {i}</p></nav><div><p>Own story {i}</p><p><a href="/{i}">Source {i}</a></p><p class="alert">Own alert {i}</p></div><p>All rights kept</p></body></html>'
+    got = H.extract(spark.createDataFrame([(i, "http://h/", page.format(i=i)) for i in range(8)], "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {f"Own story {i} Source {i} Own alert {i}" for i in range(8)}
