@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import bz2
 import gzip
 import zlib
@@ -140,28 +141,51 @@ def keep_apart(candidates: DataFrame, shard: str, tolerance: int = 1024) -> Data
 
 
 def repeats(texts: DataFrame, key: str, text: str = "text", least: int = 16, times: int = 3) -> DataFrame:
-    """Periodic stretches: (key, offset, length, period) where a block of `least` to 256 bytes stands `times` or more
-    times in a row. A byte that equals the one a period before extends the stretch, so each period is one pass.
+    """Patterns of the UTF-8 bytes: (key, offset, length, period, kind).
+
+    `repetitive`: a block of `least` to 256 bytes stands `times` or more times in a row. A byte that equals the one a
+    period later extends the stretch, so each period is one pass; a stretch is left out only where it lies inside one
+    of a divisor of its period. `random`: a tumbling window of 1024 bytes of over 7 bits of entropy, without period.
     """
+    def stretches(data: np.ndarray):
+        found: dict[int, tuple[list[int], list[int]]] = {}
+        for period in range(least, min(256, len(data) // times) + 1):
+            same = np.concatenate([[False], data[period:] == data[:-period], [False]])
+            edges = np.flatnonzero(same[1:] != same[:-1])
+            a, b = edges[::2], edges[1::2]
+            enough = b - a >= (times - 1) * period
+            done, starts, ends = 0, [], []
+            for start, end in zip(a[enough].tolist(), b[enough].tolist(), strict=True):
+                start = max(start, done)  # blocks don't overlap those of the stretch before
+                count = 1 + (end - start) // period
+                if count < times:
+                    continue
+                done = start + count * period
+                starts.append(start)
+                ends.append(done)
+                of_divisors = (found[d] for d in found if period % d == 0)
+                if not any((i := bisect.bisect_right(s, start)) and e[i - 1] >= done for s, e in of_divisors):
+                    yield start, done - start, period, "repetitive"
+            if starts:
+                found[period] = starts, ends
+
+    def random_windows(data: np.ndarray):
+        for at in range(0, len(data), 1024):
+            counts = np.bincount(data[at : at + 1024])
+            n = int(counts.sum())
+            share = counts[counts > 0] / n
+            if -(share * np.log2(share)).sum() > 7.0:
+                yield at, n, None, "random"
+
     def find(batches):
         for batch in batches:
             rows = []
             for k, t in zip(batch[key], batch[text], strict=True):
                 data = np.frombuffer((t or "").encode("utf-8", "replace"), np.uint8)
-                covered = -1
-                for period in range(least, min(256, len(data) // times) + 1):
-                    same = np.concatenate([[False], data[period:] == data[:-period], [False]])
-                    edges = np.flatnonzero(same[1:] != same[:-1])
-                    for a, b in zip(edges[::2], edges[1::2], strict=True):
-                        count = 1 + (b - a) // period
-                        if count >= times and a > covered:
-                            rows.append((k, int(a), int(count * period), period))
-                            covered = int(a + count * period)
-                    if covered >= 0:
-                        break  # multiples of a found period say nothing new
-            yield pd.DataFrame(rows, columns=["key", "offset", "length", "period"])
-
-    return texts.select(key, text).mapInPandas(find, "key long, offset long, length long, period int").withColumnRenamed("key", key)
+                rows += [(k, *row) for of in (stretches, random_windows) for row in of(data)]
+            yield pd.DataFrame(rows, columns=["key", "offset", "length", "period", "kind"]).astype({"period": "Int32"})
+
+    return texts.select(key, text).mapInPandas(find, "key long, offset long, length long, period int, kind string").withColumnRenamed("key", key)
 
 
 def codec_trials(texts: DataFrame, key: str, text: str = "text", levels: tuple[int, ...] = (1, 6, 9)) -> DataFrame:

@@ -143,6 +143,42 @@ def test_repeats(spark):
     assert [(r.id, r.offset, r.length, r.period) for r in got] == [(1, 2, 64, 16)]
 
 
+def test_repeats_of_several_periods_against_the_plain_loop(spark):
+    import random
+
+    def plain(data):
+        """The nested loop over all lengths and starts, each as (offset, length, period)."""
+        out = []
+        for p in range(16, min(256, len(data) // 3) + 1):
+            start = 0
+            while start <= len(data) - 3 * p:
+                n, pos = 1, start + p
+                while data[pos : pos + p] == data[start : start + p] and pos + p <= len(data):
+                    n, pos = n + 1, pos + p
+                if n >= 3:
+                    out.append((start, n * p, p))
+                    start = pos
+                else:
+                    start += 1
+        return out
+
+    rng = random.Random(3)
+    word = lambda n, letters="abcdefghijklmnopqrstuvwxyz": "".join(rng.choice(letters) for _ in range(n))
+    texts = ["-" * 48 + word(30) + word(20) * 3 + word(11) + word(18) * 4, word(20) * 3 + word(18) * 5 + word(40) * 3, "=" * 150 + word(16) * 9, ("ab" * 30 + "c") * 4, "", word(48)]
+    texts += ["".join(word(rng.randint(1, 24), "ab") * rng.randint(1, 6) for _ in range(8)) for _ in range(20)]
+    texts.append("".join(chr(rng.randrange(128) if rng.random() < 0.75 else rng.randrange(128, 2048)) for _ in range(1800)))
+    got = {}
+    for r in content.repeats(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect():
+        got.setdefault((r.id, r.kind), []).append((r.offset, r.length, r.period))
+    for i, t in enumerate(texts):
+        every = plain(t.encode())
+        inside = lambda x, y: x[2] != y[2] and x[2] % y[2] == 0 and y[0] <= x[0] and x[0] + x[1] <= y[0] + y[1]
+        assert got.get((i, "repetitive"), []) == [x for x in every if not any(inside(x, y) for y in every)]
+    assert {p for _, _, p in got[0, "repetitive"]} >= {16, 18, 20}
+    assert [k for k in got if k[1] == "random"] == [(len(texts) - 1, "random")]
+    assert all(n == 1024 and p is None and o % 1024 == 0 for o, n, p in got[len(texts) - 1, "random"])
+
+
 def test_tar_headers(spark):
     import io
     import tarfile
