@@ -6,12 +6,14 @@ depends on, checked against the tool's schema, and written as canonical JSON (so
 A message is read as calls when it is JSON of the form {"tool_calls": [{"id", "name", "arguments", "after"}]}, as a
 result when it is {"tool_call_id", "content"}. Plain turns are linked the same way: a user's turn asks the tool
 `reply` under the identifier conversation:turn, an assistant's turn answers the one before it, and each question
-comes after the one that the turn before it answered. Other turns are passed on as plain messages.
+comes after the one that the turn before it answered. Other turns are passed on as plain messages, and so is what
+stands beside calls or a result in their JSON. No message is left out: calls and results that repeat an identifier
+are rows of their own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -29,25 +31,33 @@ _CALL = "array<struct<id: string, name: string, arguments: variant, after: array
 
 
 def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Calls (conv_id, turn, call_id, tool, arguments, after), results (conv_id, turn, call_id, content), other turns."""
-    rows = messages.select("conv_id", "turn", "role", "text", F.try_parse_json(F.when(F.col("text").rlike(r"^\s*\{"), F.col("text"))).alias("v"))
+    """Calls (_row, conv_id, turn, call_id, tool, arguments, after), results (_row, conv_id, turn, call_id, content), other turns.
+
+    _row numbers the messages. Plain turns without conversation or turn have no identifier.
+    """
+    rows = messages.select("conv_id", "turn", "role", "text", F.monotonically_increasing_id().alias("_row"), F.try_parse_json(F.when(F.col("text").rlike(r"^\s*\{"), F.col("text"))).alias("v"))
     listed = rows.select("*", F.expr(f"try_variant_get(v, '$.tool_calls', '{_CALL}')").alias("calls"), F.expr("try_variant_get(v, '$.tool_call_id', 'string')").alias("answers"))
     is_call, is_result = F.col("calls").isNotNull(), F.col("calls").isNull() & F.col("answers").isNotNull()
     plain = ~is_call & ~is_result
-    at = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.coalesce(F.col("turn").cast("string"), F.lit("")))
-    back = lambda n: F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), (F.col("turn") - n).cast("string"))
-    written = listed.where(is_call).select("conv_id", "turn", F.explode("calls").alias("c")).select(
-        "conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array()).alias("after")
+    back = lambda n: F.concat(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - n).cast("string"))
+    written = listed.where(is_call).select("_row", "conv_id", "turn", F.explode("calls").alias("c")).select(
+        "_row", "conv_id", "turn", F.col("c.id").alias("call_id"), F.col("c.name").alias("tool"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array()).alias("after")
     )
     asked = listed.where(plain & F.col("role").eqNullSafe("user")).select(
-        "conv_id", "turn", at.alias("call_id"), F.lit(REPLY).alias("tool"),
+        "_row", "conv_id", "turn", back(0).alias("call_id"), F.lit(REPLY).alias("tool"),
         F.try_parse_json(F.to_json(F.struct(F.col("text").alias("prompt"), "turn"))).alias("arguments"),
         F.when(F.col("turn") > 1, F.array(back(2))).otherwise(F.array().cast("array<string>")).alias("after"),
     )
-    results = listed.where(is_result).select("conv_id", "turn", F.col("answers").alias("call_id"), F.expr("try_variant_get(v, '$.content', 'variant')").alias("content"))
-    answered = listed.where(plain & F.col("role").eqNullSafe("assistant")).select("conv_id", "turn", back(1).alias("call_id"), F.to_variant_object(F.struct(F.col("text").alias("text"))).alias("content"))
-    other = listed.where(plain & ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).select("conv_id", "turn", "role", "text")
-    return written.union(asked), results.union(answered), other
+    results = listed.where(is_result).select("_row", "conv_id", "turn", F.col("answers").alias("call_id"), F.expr("try_variant_get(v, '$.content', 'variant')").alias("content"))
+    answered = listed.where(plain & F.col("role").eqNullSafe("assistant")).select("_row", "conv_id", "turn", back(1).alias("call_id"), F.to_variant_object(F.struct(F.col("text").alias("text"))).alias("content"))
+    message = F.to_json(F.struct(F.col("text").alias("content"), "role"))
+    other = listed.where(plain & ~F.coalesce(F.col("role").isin("user", "assistant"), F.lit(False))).select("conv_id", "turn", message.alias("json"))
+    # an object's text beside calls or a result is the message; with other fields, or without any call, the whole rest is
+    fields = F.expr("map_filter(try_cast(v as map<string, variant>), (k, x) -> NOT (k = 'tool_calls' AND size(calls) > 0) AND NOT (calls IS NULL AND k IN ('tool_call_id', 'content')))")
+    only_content = (F.size("rest") == 1) & F.map_contains_key("rest", "content")
+    content = F.when(only_content, F.try_element_at("rest", F.lit("content"))).otherwise(F.to_variant_object("rest"))
+    beside = listed.where(is_call | is_result).withColumn("rest", fields).where(F.size("rest") > 0).select("conv_id", "turn", F.to_json(F.struct(content.alias("content"), "role")).alias("json"))
+    return written.union(asked), results.union(answered), other.union(beside)
 
 
 def levels(calls: DataFrame) -> DataFrame:
@@ -96,49 +106,68 @@ def _problems(schemas) -> tuple[Column, Column]:
     return given, out
 
 
+def _numbered(rows: DataFrame, json: str) -> DataFrame:
+    """`rows` with key, _nth (1 for the earliest of a key, ties: the smaller JSON) and _of, the number of the key's rows.
+
+    Rows without call_id have no key. A message without conversation is one of its own.
+    """
+    scope = F.when(F.col("conv_id").isNull(), F.concat(F.lit("row "), F.col("_row").cast("string"))).otherwise(F.concat(F.lit("conv "), F.col("conv_id").cast("string")))
+    rows = rows.withColumns({"scope": scope, "key": F.concat_ws("\x1f", scope, F.col("call_id"))})
+    named = rows.where("call_id is not null")
+    by_key = Window.partitionBy("key")
+    named = named.withColumns({"_nth": F.row_number().over(by_key.orderBy("turn", json, "_row")), "_of": F.count("*").over(by_key)})
+    alone = rows.where("call_id is null").withColumns({"key": F.lit(None).cast("string"), "_nth": F.lit(1), "_of": F.lit(1).cast("long")})
+    return named.unionByName(alone)
+
+
 def link(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
     """One row per call, per result without a call, and per other turn.
 
-    conv_id, turn, call_id, tool, level, status, problems, json. Identifiers hold within a conversation. Of calls that
-    share one, and of results of one call, the earliest counts (ties: the smaller JSON); the number of the rest is in
-    `repeated`. Status: ok, invalid (see problems), unanswered, cyclic, orphan (a result without call), message.
-    Null texts give a missing prompt; null ids share one identifier that never matches; an empty table gives an empty result.
+    conv_id, turn, call_id, tool, level, status, problems, json. Identifiers hold within a conversation; without one,
+    within the message. Of calls that share one, and of results of one call, the earliest is linked (ties: the smaller
+    JSON) and has the number of the rest in `repeated`; each of the rest is a row `duplicate` with its own JSON.
+    Status: ok, invalid (see problems), unanswered, cyclic, orphan (a result without call), duplicate, message.
+    Null texts give a missing prompt; null ids never match; an empty table gives an empty result.
     """
     calls, results, other = calls_and_results(messages)
-    key = F.concat_ws("\x1f", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), "call_id")
-    first = lambda *c: F.min(F.struct("turn", *c))
-    calls = calls.withColumns({"key": key, "arguments_json": F.to_json("arguments")})
-    calls = calls.groupBy("key", "conv_id", "call_id").agg(first("arguments_json", "tool", "after").alias("c"), (F.count("*") - 1).alias("repeated"))
-    calls = cut(calls.select("key", "conv_id", "call_id", "repeated", "c.*"))
-    results = results.withColumns({"key": key, "content_json": F.to_json("content")}).groupBy("key", "conv_id", "call_id").agg(first("content_json").alias("r"), (F.count("*") - 1).alias("r_repeated"))
-    results = results.select("key", F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), "r_repeated", F.col("r.turn").alias("r_turn"), F.col("r.content_json").alias("content_json"))
-    in_conversation = F.transform("after", lambda a: F.concat_ws("\x1f", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), a))
+    # arguments are written as JSON first, as variants can't be sorted; cut, as rows are numbered
+    calls = cut(_numbered(calls.withColumn("arguments_json", F.to_json("arguments")).drop("arguments"), "arguments_json"))
+    results = cut(_numbered(results.withColumn("content_json", F.to_json("content")).drop("content"), "content_json"))
+    none = F.lit(None).cast("string")
+    again_called = calls.where("_nth > 1").withColumn("arguments", F.try_parse_json("arguments_json"))
+    given, problems = _problems(schemas)
+    duplicate = F.lit("duplicate").alias("status")
+    duplicates = again_called.withColumn("_given", given).withColumn("problems", problems).select(
+        "conv_id", "turn", "call_id", "tool", F.lit(None).cast("long").alias("level"), duplicate, F.array_join("problems", "; ").alias("problems"), F.lit(0).cast("long").alias("repeated"),
+        F.to_json(F.struct("arguments", F.col("call_id").alias("id"), F.col("tool").alias("name"), duplicate)).alias("json"),
+    ).union(
+        results.where("_nth > 1").select(
+            "conv_id", "turn", "call_id", none, F.lit(None).cast("long"), duplicate, none, F.lit(0).cast("long"),
+            F.to_json(F.struct(F.col("call_id").alias("id"), F.try_parse_json("content_json").alias("result"), duplicate)),
+        )
+    )
+    calls = calls.where("_nth = 1").select("key", "scope", "conv_id", "call_id", (F.col("_of") - 1).alias("repeated"), "turn", "arguments_json", "tool", "after")
+    results = results.where("_nth = 1").select(
+        "key", F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), (F.col("_of") - 1).alias("r_repeated"), F.col("turn").alias("r_turn"), "content_json", F.lit(True).alias("r_is")
+    )
+    in_conversation = F.transform("after", lambda a: F.concat_ws("\x1f", "scope", a))
     ordered = levels(calls.where("call_id is not null").select("key", in_conversation.alias("after")))
     calls = calls.join(ordered, "key", "left")
-    # identifiers that are null get a key of their own side each, so that they never meet
-    calls = calls.withColumn("key", F.when(F.col("call_id").isNotNull(), F.col("key")))
-    results = results.withColumn("key", F.when(F.col("r_call").isNotNull(), F.col("key")))
     both = calls.join(results, "key", "full").withColumn("arguments", F.try_parse_json("arguments_json"))
-    given, problems = _problems(schemas)
     both = both.withColumn("_given", given)
     has_call = F.col("repeated").isNotNull()
     both = both.withColumn("problems", F.when(has_call, problems))
     status = (
         F.when(~has_call, "orphan").when(F.size("problems") > 0, "invalid").when(F.col("level").isNull() & F.col("call_id").isNotNull(), "cyclic")
-        .when(F.col("content_json").isNull() & F.col("r_turn").isNull(), "unanswered").otherwise("ok")
+        .when(F.col("r_is").isNull(), "unanswered").otherwise("ok")
     )
     json = F.to_json(F.struct("arguments", F.coalesce("call_id", "r_call").alias("id"), "level", F.col("tool").alias("name"), F.try_parse_json("content_json").alias("result"), F.col("status").alias("status")))
     linked = both.withColumn("status", status).select(
         F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("turn", "r_turn").alias("turn"), F.coalesce("call_id", "r_call").alias("call_id"), "tool", "level", "status",
         F.when(has_call, F.array_join("problems", "; ")).alias("problems"), (F.coalesce("repeated", F.lit(0)) + F.coalesce("r_repeated", F.lit(0))).alias("repeated"), json.alias("json"),
     )
-    none = F.lit(None).cast("string")
-    return linked.union(
-        other.select(
-            "conv_id", "turn", none, none, F.lit(None).cast("long"), F.lit("message"), none, F.lit(0).cast("long"),
-            F.to_json(F.struct(F.col("text").alias("content"), "role")),
-        )
-    )
+    # duplicates come first, so that the linked rows of an identifier are the last ones read
+    return duplicates.union(linked).union(other.select("conv_id", "turn", none, none, F.lit(None).cast("long"), F.lit("message"), none, F.lit(0).cast("long"), "json"))
 
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

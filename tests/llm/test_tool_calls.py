@@ -69,3 +69,26 @@ def test_query_against_plain_linking(spark, small):
         if answered:
             want = {"arguments": {"prompt": r.text, "turn": r.turn}, "id": f"{r.conv_id}:{r.turn}", "level": level(k), "name": "reply", "result": {"text": answer.text}, "status": "ok"}
             assert got[k].json == json.dumps(want, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+def test_no_message_is_lost(spark):
+    two = {"tool_calls": [call("k", "say", {"text": "one"}), call("k", "say", {"text": "two"}), call(None, "say", {"text": "three"}), call(None, "say", {"text": "four"})]}
+    rows = [
+        (1, 0, "user", "first asks"), (1, 0, "user", "second asks"), (1, 1, "assistant", "answer"), (1, 1, "assistant", "better answer"),
+        (None, 0, "user", "somebody"), (None, 0, "user", "somebody else"), (None, 0, "user", "somebody else"), (None, 1, "assistant", "to whom"),
+        (2, 1, "assistant", json.dumps(two | {"content": "let me see"})), (2, 2, "tool", json.dumps({"tool_call_id": "k", "content": "r1"})), (2, 3, "tool", json.dumps({"tool_call_id": "k", "content": "r2", "note": "late"})),
+        (3, 1, "assistant", json.dumps({"tool_calls": []})), (3, 2, "assistant", json.dumps({"tool_calls": [], "content": "nothing to call"})),
+        (5, None, "user", "no turn"), (5, None, "user", "no turn either"), (5, None, "assistant", "none here"),
+    ]
+    got = C.link(messages(spark, rows), SCHEMAS + C.SCHEMAS).collect()
+    of = lambda conv, status: sorted(json.dumps(json.loads(r.json), sort_keys=True) for r in got if r.conv_id == conv and r.status == status)
+    for _, _, _, text in rows:
+        if not text.startswith("{"):
+            assert sum(f'"{text}"' in r.json for r in got) == sum(x[3] == text for x in rows), text
+    assert len(of(1, "ok")) == 1 and len(of(1, "duplicate")) == 2
+    assert len([r for r in got if r.conv_id is None and r.status == "orphan"]) == 1 and len([r for r in got if r.conv_id is None and r.status == "unanswered"]) == 3
+    assert of(2, "duplicate") == ['{"arguments": {"text": "two"}, "id": "k", "name": "say", "status": "duplicate"}', '{"id": "k", "result": "r2", "status": "duplicate"}']
+    assert [json.loads(x)["result"] for x in of(2, "ok")] == ["r1"] and sorted(json.loads(x)["arguments"]["text"] for x in of(2, "unanswered")) == ["four", "three"]
+    assert of(2, "message") == ['{"content": "let me see", "role": "assistant"}', '{"content": {"note": "late"}, "role": "tool"}']
+    assert of(3, "message") == ['{"content": {"content": "nothing to call", "tool_calls": []}, "role": "assistant"}', '{"content": {"tool_calls": []}, "role": "assistant"}']
+    assert len(of(5, "invalid")) == 2 and len(of(5, "orphan")) == 1  # a missing turn is a missing argument
