@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import delete, written
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -16,7 +16,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     step needs only the minimum of a node's neighbours, joined back to the edges.
     Self-links are allowed; null ends are left out. An empty edge table gives an empty result.
     """
-    edges = cut(
+    edges = written(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a is not null and b is not null and a < b").distinct()
     )
     last = None
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = large.where("a < b").distinct()
         smallest = down.groupBy("b").agg(F.min("a").alias("m"))
         small = down.join(smallest, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m < b")
-        edges = cut(small.select(F.col("m").alias("a"), "b").distinct())
+        last_edges, edges = edges, written(small.select(F.col("m").alias("a"), "b").distinct())
+        delete(last_edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, delete, table, written
 
 REPLY = "reply"
 #: (tool, parameter, type, required); a tool without parameters here is unknown and its calls are invalid.
@@ -63,30 +63,40 @@ def calls_and_results(messages: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
 def levels(calls: DataFrame) -> DataFrame:
     """(key, level) for each key of `calls` (key, after): 0 without known dependencies, else one more than the largest.
 
-    Chains are first followed by pointer jumping along one dependency a call, which settles a chain of n calls in
-    log n rounds; then levels are raised until no dependency is violated. Calls on a cycle, and those that depend on
-    one, get a null level. Dependencies on unknown keys and on itself are left out.
+    Each key follows one of its dependencies, at first the last one listed; the lengths of all these chains come from
+    pointer jumping, in rounds that grow with the logarithm of the longest. Then each key turns to its dependency of
+    the highest level, and the chains are measured again, until no dependency is violated. Keys whose chain never
+    ends are on a cycle; these, and all that depend on one, get a null level. A cycle that no chain follows yet shows
+    as a violation, so it is found, too. Dependencies on unknown keys, on itself and null ones are left out.
     """
     known = calls.select("key").distinct()
-    arcs = calls.select("key", F.explode("after").alias("dep")).where("key <> dep").distinct()
-    arcs = cut(arcs.join(known.withColumnRenamed("key", "dep"), "dep", "left_semi").select("key", "dep"))
-    n = known.count()
-    state = cut(known.join(arcs.groupBy("key").agg(F.max("dep").alias("up")), "key", "left").select("key", "up", F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("level")))
-    for _ in range(max(1, n).bit_length() + 1):
-        if not state.where("up is not null").limit(1).count():
-            break
-        over = state.select(F.col("key").alias("up"), F.col("up").alias("above"), F.col("level").alias("more"))
-        state = cut(state.join(over, "up", "left").select("key", F.col("above").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")))
-    # what still points upwards is on a cycle or below one
-    state = cut(state.select("key", F.when(F.col("up").isNull(), F.col("level")).alias("level"), F.lit(False).alias("risen")))
+    arcs = calls.select("key", F.posexplode("after").alias("at", "dep")).where("key <> dep").groupBy("key", "dep").agg(F.max("at").alias("at"))
+    arcs = cut(arcs.join(known.withColumnRenamed("key", "dep"), "dep", "left_semi").select("key", "dep", "at"))
+    state = written(known.select("key", F.lit(0).cast("long").alias("level"), F.lit(False).alias("cyclic")))
     while True:
-        least = arcs.join(state.select(F.col("key").alias("dep"), F.col("level").alias("of_dep")), "dep").groupBy("key").agg(
-            F.max(F.col("of_dep") + 1).alias("least"), F.max(F.col("of_dep").isNull()).alias("stuck")
-        )
-        raised = F.when(F.col("level").isNull() | F.col("stuck") | (F.col("least") > n), None).otherwise(F.greatest("level", F.coalesce("least", F.lit(0))))
-        state = cut(state.join(least, "key", "left").select("key", raised.alias("level"), (~raised.eqNullSafe(F.col("level"))).alias("risen")))
-        if not state.where("risen").limit(1).count():
-            return state.select("key", "level")
+        of_dep = state.select(F.col("key").alias("dep"), F.col("cyclic").alias("_cyclic"), F.col("level").alias("_level"))
+        best = arcs.join(of_dep, "dep").groupBy("key").agg(F.max(F.struct("_cyclic", "_level", "at", "dep")).alias("best"))
+        held = written(state.join(best, "key", "left"))
+        violated = ~F.col("cyclic") & (F.col("best._cyclic") | (F.col("best._level") + 1 > F.col("level")))
+        if held.where(violated).isEmpty():
+            return state.select("key", F.when(~F.col("cyclic"), F.col("level")).alias("level"))
+        up = F.when(~F.col("cyclic"), F.col("best.dep"))
+        delete(state)
+        state = _measured(held.select("key", up.alias("up"), F.when(up.isNull(), 0).otherwise(1).cast("long").alias("level"), "cyclic"))
+
+
+def _measured(state: DataFrame) -> DataFrame:
+    """(key, level, cyclic) from (key, up, level, cyclic): the length of each key's chain, by pointer jumping."""
+    state, before = written(state), None
+    while (rest := state.where("up is not null").count()) and rest != before:
+        over = state.select(F.col("key").alias("up"), F.col("up").alias("above"), F.col("level").alias("more"), F.col("cyclic").alias("_cyclic"))
+        jumped = state.join(over, "up", "left")
+        cyclic = F.col("cyclic") | F.coalesce("_cyclic", F.lit(False))
+        last, state = state, written(jumped.select("key", F.col("above").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"), cyclic.alias("cyclic")))
+        delete(last)
+        before = rest
+    # a round that ends no chain leaves only those without end: else one of the next length would have ended in it
+    return written(state.select("key", "level", (F.col("cyclic") | F.col("up").isNotNull()).alias("cyclic")))
 
 
 def _problems(schemas) -> tuple[Column, Column]:
@@ -151,9 +161,13 @@ def link(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
         "key", F.col("conv_id").alias("r_conv"), F.col("call_id").alias("r_call"), (F.col("_of") - 1).alias("r_repeated"), F.col("turn").alias("r_turn"), "content_json", F.lit(True).alias("r_is")
     )
     in_conversation = F.transform("after", lambda a: F.concat_ws("\x1f", "scope", a))
-    ordered = levels(calls.where("call_id is not null").select("key", in_conversation.alias("after")))
-    calls = calls.join(ordered, "key", "left")
-    both = calls.join(results, "key", "full").withColumn("arguments", F.try_parse_json("arguments_json"))
+    named, answers = calls.where("key is not null"), results.where("key is not null")
+    ordered = levels(named.select("key", in_conversation.alias("after")))
+    both = named.join(ordered, "key", "left").join(answers, "key", "full")
+    # what has no identifier matches nothing, so it stays out of the join
+    for alone in (calls, results):
+        both = both.unionByName(alone.where("key is null"), allowMissingColumns=True)
+    both = both.withColumn("arguments", F.try_parse_json("arguments_json"))
     both = both.withColumn("_given", given)
     has_call = F.col("repeated").isNotNull()
     both = both.withColumn("problems", F.when(has_call, problems))
@@ -171,4 +185,5 @@ def link(messages: DataFrame, schemas=SCHEMAS) -> DataFrame:
 
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn of `conversations`, linked; see `link` for nulls, repeated rows, ties and empty tables."""
     return link(table(spark, sf_dir, "conversations"))

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from hawser.llm import tool_calls as C
 
 SCHEMAS = [("add", "x", "integer", True), ("add", "y", "number", True), ("say", "text", "string", True), ("say", "tags", "array", False)]
@@ -92,3 +94,49 @@ def test_no_message_is_lost(spark):
     assert of(2, "message") == ['{"content": "let me see", "role": "assistant"}', '{"content": {"note": "late"}, "role": "tool"}']
     assert of(3, "message") == ['{"content": {"content": "nothing to call", "tool_calls": []}, "role": "assistant"}', '{"content": {"tool_calls": []}, "role": "assistant"}']
     assert len(of(5, "invalid")) == 2 and len(of(5, "orphan")) == 1  # a missing turn is a missing argument
+
+
+def plain_levels(after):
+    """Kahn's order; None for calls on a cycle or below one."""
+    after = {k: {d for d in deps if d in after and d != k} for k, deps in after.items()}
+    level, left = {}, dict(after)
+    while True:
+        free = [k for k, deps in left.items() if all(d in level for d in deps)]
+        if not free:
+            return level | dict.fromkeys(left)
+        level |= {k: max((level[d] + 1 for d in after[k]), default=0) for k in free}
+        for k in free:
+            del left[k]
+
+
+def test_levels_of_random_graphs_and_cycles(spark):
+    import random
+
+    rng, after = random.Random(5), {}
+    for g in range(40):
+        n = rng.randint(1, 14)
+        for i in range(n):  # every fourth graph may have cycles
+            after[f"{g}:{i}"] = [f"{g}:{rng.randrange(n if g % 4 == 0 else max(i, 1))}" for _ in range(rng.randint(0, 3))]
+    after |= {"z": [], "a": ["b", "z"], "b": ["a", "z"], "below": ["z", "a"], "last": ["below", "z"]}
+    got = {r.key: r.level for r in C.levels(spark.createDataFrame(list(after.items()), "key string, after array<string>")).collect()}
+    assert got == plain_levels(after)
+    assert got["a"] is got["b"] is got["below"] is got["last"] is None and got["z"] == 0
+
+
+def test_a_cycle_among_ten_thousand_calls_takes_few_rounds(spark, monkeypatch):
+    ladder = [(f"l{i}", [f"l{j}" for j in range(max(0, i - 3), i)]) for i in range(3000)]
+    rows = ladder + [(f"c{i}", [f"c{i - 1}"] if i % 50 else []) for i in range(7000)] + [("z", []), ("a", ["b", "z"]), ("b", ["a", "z"]), ("null", [None])]
+    rounds, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: rounds.append(1) or real(df))
+    got = {r.key: r.level for r in C.levels(spark.createDataFrame(rows, "key string, after array<string>")).collect()}
+    assert all(got[f"l{i}"] == i for i in range(3000)) and all(got[f"c{i}"] == i % 50 for i in range(7000))
+    assert got["a"] is got["b"] is None and got["z"] == got["null"] == 0
+    assert len(rounds) < 60
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = "word " * 400_000
+    rows = [(1, 0, "user", long, "k"), (1, 1, "assistant", json.dumps({"tool_calls": [call("x", "say", {"text": long})]}), "k"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string").withColumns({"level": F.lit("l"), "json": F.lit("j"), "_row": F.lit("r"), "scope": F.lit("s")})
+    got = {r.status: r for r in C.link(df, SCHEMAS + C.SCHEMAS).collect()}
+    assert len(got) == 2 and set(got) == {"unanswered", "message"} and len(got["unanswered"].json) > len(long)
