@@ -217,10 +217,10 @@ def _with_spans(docs: DataFrame, generalise: float, remove: float) -> DataFrame:
     size = told.agg(F.sum(F.octet_length("term") + 24)).first()[0]
     told = checked_broadcast(told.select("term", F.when(F.col("sure") >= remove, "remove").otherwise("generalise").alias("action")), size)
     rows = found.select("_row", _terms(_outside()).alias("terms")).select("_row", F.explode("terms").alias("term"))
-    rows = rows.join(told, "term").select("_row").distinct()
+    rows = cut(rows.join(told, "term").select("_row").distinct())
     # only texts with such a term are taken apart again
-    pieces = found.select("_row", F.split(_outside(), _NO_WORD, -1).alias("pieces")).join(rows, "_row", "left_semi")
-    pieces = pieces.select("_row", "pieces", _running_sums(F.transform("pieces", lambda w: (F.length(w) + 1).cast("long"))).alias("ends"))
+    texts = found.select("_row", _outside().alias("text")).join(checked_broadcast(rows, 16 * rows.count()), "_row", "left_semi")
+    pieces = texts.select("_row", F.split("text", _NO_WORD, -1).alias("pieces")).select("_row", "pieces", _running_sums(F.transform("pieces", lambda w: (F.length(w) + 1).cast("long"))).alias("ends"))
     placed = F.filter(F.zip_with("pieces", "ends", lambda w, end: F.struct(w.alias("word"), (end - 1 - F.length(w)).alias("start"), (end - 1).alias("end"))), lambda x: x["word"] != "")
     hits = pieces.select("_row", F.explode(placed).alias("w")).select("_row", F.lower("w.word").alias("term"), "w.start", "w.end").join(told, "term")
     spans = F.sort_array(F.collect_list(F.struct(F.col("start"), F.col("end"), F.col("action"))))
