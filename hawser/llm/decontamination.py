@@ -1,16 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-Tokens are runs of letters and digits, lower-cased, so that marks around words hide nothing. The benchmark is the
+Tokens are runs of Unicode letters, digits and combining marks after compatibility normalisation, lower-cased, so that
+neither marks around words nor typographic forms hide anything; ideographs, kana and other letters of scripts without
+spaces are a token each. The benchmark is the
 stated query set: it is taken in blocks of bounded size, each broadcast and held against all documents map-side, so
 no document moves. In a batch of documents, running Karp-Rabin hashes of `least_tile` tokens are looked up among the
 benchmark's (shared-token seeds). For each document and item that meet, the longest matches of unmarked tokens are
 marked again and again, longest first, and the marked share of the item is its coverage: an item whose sentences were
 reordered is tiled in pieces and still covered.
+
+A seed that more than COMMON items share (a licence line) brings an item and a document together only where such seeds
+alone could cover the item; else a covered item has a tile with another seed, so nothing is missed.
 """
 
 from __future__ import annotations
 
 import itertools
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,6 +30,10 @@ from .common import table, text_or_empty
 
 #: Shortest run of tokens that counts as a tile; shorter items must be found whole.
 LEAST_TILE = 4
+#: Items of fewer tokens are not searched, as a word alone says nothing; see `too_short`.
+LEAST_ITEM = 2
+#: Items that may share a seed before it counts as common.
+COMMON = 64
 #: Share of an item's tokens that must be tiled.
 COVERAGE = 0.6
 #: Characters of benchmark text held in one broadcast block.
@@ -32,11 +42,29 @@ BLOCK_CHARS = 8_000_000
 RESULT = "doc_id long, item_id long, n_tiles int, matched int, item_tokens int, longest int, coverage double"
 
 _BASE = 0x9E3779B97F4A7C15
-_MARKS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+# Blocks of scripts that are written without spaces.
+_UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+
+
+class _Separated(dict):
+    """For str.translate: what a code point becomes, worked out when it is first met."""
+
+    def __missing__(self, point: int):
+        if any(a <= point <= b for a, b in _UNSPACED):
+            out = f" {chr(point)} "
+        else:
+            out = point if unicodedata.category(chr(point))[0] in "LNM" else " "
+        self[point] = out
+        return out
+
 
+_SEPARATED = _Separated()
 
-def tokens(text: str) -> list[bytes]:
-    return text.lower().encode("utf-8", "replace").translate(_MARKS).split()
+
+def tokens(text: str) -> list[str]:
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return text.lower().translate(_SEPARATED).split()
 
 
 def window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -104,19 +132,58 @@ def _free_windows(ids, free, n) -> Iterator[tuple[int, int]]:
             yield i - n + 1, h
 
 
+def _condensed(text: list[int], longest: int, least: int) -> list[int]:
+    """A long repetitive `text` with as many copies of what repeats as tiles of `longest` tokens in all can need.
+
+    There are at most longest / least tiles, and each blocks copies less than twice `longest` around it; so of equal
+    windows one more than that, that far apart, leave room for every tile.
+    """
+    if len(text) <= 64 * longest:
+        return text
+    hashes = window_hashes(np.array(text + [0] * longest, np.int64), longest)[: len(text)]
+    keep, seen = np.zeros(len(text) + longest, bool), {}
+    for t, h in enumerate(hashes.tolist()):
+        n, last = seen.get(h, (0, -2 * longest))
+        if n <= longest // least and t - last >= 2 * longest:
+            seen[h] = (n + 1, t)
+            keep[t : t + longest] = True
+    out, last = [], 0
+    for t in np.nonzero(keep[: len(text)])[0].tolist():
+        if out and t > last + 1:
+            out.append(0)
+        out.append(text[t])
+        last = t
+    return out
+
+
 class Benchmark:
     """A block of benchmark items, ready to be held against documents."""
 
     def __init__(self, items: list[tuple[int, str]], least_tile: int, coverage: float):
         self.least, self.coverage, self.vocabulary, self.items = least_tile, coverage, {}, []
         for item_id, text in items:
-            if ids := [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)]:
-                self.items.append((item_id, ids))
+            words = tokens(text)
+            if len(words) >= LEAST_ITEM:
+                self.items.append((item_id, [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]))
         self.seeds: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))  # by length and hash
         for number, (_, ids) in enumerate(self.items):
             n = min(least_tile, len(ids))
             for h in set(window_hashes(np.array(ids), n).tolist()):
                 self.seeds[n][h].append(number)
+        self.beside: dict[int, set[int]] = {}  # an item's common seeds, where they can't cover it
+        for number, (_, ids) in enumerate(self.items):
+            n, reached = min(least_tile, len(ids)), set()
+            hashes = window_hashes(np.array(ids), n).tolist()
+            common = {h for h in hashes if len(self.seeds[n][h]) > COMMON}
+            for i, h in enumerate(hashes):
+                if h in common:
+                    reached.update(range(i, i + n))
+            if common and len(reached) < coverage * len(ids):
+                self.beside[number] = common
+        for x in self.seeds.values():
+            for h, numbers in x.items():
+                if len(numbers) > COMMON:
+                    x[h] = [k for k in numbers if h not in self.beside.get(k, ())]
         self.seeds = {n: dict(x) for n, x in self.seeds.items()}
         self.sorted_seeds = {n: np.array(sorted(x), np.uint64) for n, x in self.seeds.items()}
 
@@ -140,9 +207,22 @@ class Benchmark:
             h = window_hashes(ids, n)[places]
             hit = np.isin(h, seeds)
             places, h = places[hit], h[hit]
-            for place, number, value in zip(places.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist(), h.tolist(), strict=True):
+            hits = list(zip(places.tolist(), (np.searchsorted(starts, places, "right") - 1).tolist(), h.tolist(), strict=True))
+            for place, number, value in hits:
                 for item in self.seeds[n][value]:
                     met[number, item].append(place)
+            if self.beside:
+                of_text = defaultdict(list)
+                for number, item in met:
+                    if item in self.beside and min(self.least, len(self.items[item][1])) == n:
+                        of_text[number].append(item)
+                for place, number, value in hits:
+                    for item in of_text.get(number, ()):
+                        if value in self.beside[item]:
+                            met[number, item].append(place)
+                for number, items in of_text.items():
+                    for item in items:
+                        met[number, item].sort()
         for (number, item), places in met.items():
             pattern = self.items[item][1]
             n = min(self.least, len(pattern))
@@ -153,6 +233,7 @@ class Benchmark:
                     inside.append(0)
                 inside += ids[max(p, last) : p + n].tolist()
                 last = p + n
+            inside = _condensed(inside, len(pattern), n)
             present = set(inside)
             if sum(x in present for x in pattern) >= self.coverage * len(pattern):
                 tiles = greedy_tiles(pattern, inside, n)
@@ -170,10 +251,21 @@ def blocks(benchmark: DataFrame, least_tile: int, coverage: float, block_chars:
         yield Benchmark([tuple(r) for r in items.where(block == k).orderBy("item_id", "text").collect()], least_tile, coverage)
 
 
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """item_id and text of the items that are not searched: null texts and those below LEAST_ITEM tokens."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(tokens(t)) for t in texts], dtype="int32")
+
+    return benchmark.where(count(text_or_empty()) < LEAST_ITEM).select("item_id", "text")
+
+
 def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, least_tile: int = LEAST_TILE, coverage: float = COVERAGE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Rows of RESULT: each document and benchmark item whose tiles reach the coverage.
 
-    Null and empty texts match nothing; repeated rows give repeated results; items without tokens are left out.
+    Null and empty texts match nothing; repeated rows give repeated results; items of fewer than LEAST_ITEM tokens are
+    left out (`too_short` lists them), and those below `least_tile` must be found whole. Empty tables give no rows.
     """
     out = None
     for part in blocks(benchmark, least_tile, coverage, block_chars):
@@ -214,4 +306,5 @@ def _is_clean(shared):
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Covered benchmark items of every document; see `contaminated_pairs` for nulls, repeated rows and empty tables."""
     return contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -90,3 +90,35 @@ def test_query_against_plain_tiling(spark, small):
             if len(covered) >= 0.6 * len(item) and sum(t[2] for t in D.greedy_tiles(item, words, 4)) >= 0.6 * len(item):
                 want.add((r.doc_id, item_id))
     assert got == want
+
+
+def test_typography_scripts_and_single_words(spark):
+    words = ITEM.split()
+    han = "这是一个用来检查基准污染的句子其中没有任何空格"
+    docs = [(1, "“" + "” — “".join(words) + "”…"), (2, " ".join(words)), (3, "　".join(words)), (4, f"前文内容{han}后文内容。"), (5, "see the cat"), (6, "ＴＨＥ " + ITEM[4:].replace("fi", "ﬁ"))]
+    d, b, got = run(spark, docs, [(1, ITEM), (2, han), (3, "the"), (4, None)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 2), (6, 1)}
+    assert sorted(r.item_id for r in D.too_short(b).collect()) == [3, 4]
+    assert sorted(r.doc_id for r in D.drop_contaminated(d, b).collect()) == [5]
+
+
+def test_common_seeds_lose_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    licence = "permission is hereby granted free of charge to any person".split()
+    own = lambda i: [f"w{i}x{j}" for j in range(rng.randint(0, 14))]
+    items = [(i, " ".join(licence + own(i))) for i in range(120)]
+    docs = [(k, " ".join(rng.choice(items)[1].split()[rng.randint(0, 4) :] + [f"f{k}"] + licence[: rng.randint(0, 10)])) for k in range(60)] + [(99, " ".join(licence)), (98, " ".join(licence * 3_000))]
+    _, _, got = run(spark, docs, items)
+    held = D.Benchmark(items, D.LEAST_TILE, D.COVERAGE)
+    assert held.beside
+    monkeypatch.setattr(D, "COMMON", 10**9)
+    plain = D.Benchmark(items, D.LEAST_TILE, D.COVERAGE)
+    texts = [t for _, t in docs]
+    assert sorted(plain.matches(texts)) == sorted(held.matches(texts))
+    monkeypatch.setattr(D, "_condensed", lambda text, *_: text)
+    covers = lambda found: sorted((n, i, sum(t[2] for t in tiles)) for n, i, tiles in found)
+    short = [" ".join(t.split()[:900]) for t in texts]
+    whole = covers(plain.matches(short))
+    monkeypatch.undo()
+    assert covers(plain.matches(short)) == whole
+    assert {(docs[n][0], items[i][0]) for n, i, _ in plain.matches(texts)} == set(got)
