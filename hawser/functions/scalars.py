@@ -23,6 +23,13 @@ EXTENSIONS = {
 }
 LISTABLE = [".tar", ".br", ".bz2", ".zip", ".gz", ".lz4", ".sz", ".xz", ".zz", ".zst", ".rar", ".7z"]
 
+# Storage classes by the price list's names, and codecs whose output counts as compressed.
+CLASS_NAMES = {
+    "General Purpose": "STANDARD", "Infrequent Access": "STANDARD_IA", "One Zone - Infrequent Access": "ONEZONE_IA",
+    "Archive": "GLACIER", "Deep Archive": "DEEP_ARCHIVE", "Intelligent-Tiering": "INTELLIGENT_TIERING",
+}
+COMPRESSING = ["zstd", "gzip", "bzip2"]
+
 # Error texts by category, first match wins, with whether a retry helps.
 ERROR_WORDS = [
     ("network", True, ["connection", "timeout", "network", "dns"]),
@@ -245,3 +252,13 @@ def ratio_from_content(kind: Column) -> Column:
         ],
         0.3,
     )
+
+
+def storage_class(name: Column) -> Column:
+    """Class code of a price list's name; null for names it doesn't know."""
+    return ladder([(name == n, c) for n, c in CLASS_NAMES.items()], F.lit(None).cast("string"))
+
+
+def staged_type(codec: Column) -> Column:
+    """Content type that staging assumes for a codec's output."""
+    return F.when(codec.isin(COMPRESSING), "compressed").otherwise("binary")

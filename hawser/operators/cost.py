@@ -14,6 +14,17 @@ def transfer_cost(gb: Column) -> Column:
     return F.greatest(gb - 1.0, F.lit(0.0)) * TRANSFER_PER_GB
 
 
+def fallback_prices(regions: DataFrame, prices: DataFrame) -> DataFrame:
+    """region, class, storage, request of every region and class where no price list is at hand: a tenth more for storage in eu- and ap- regions.
+
+    A list of a few classes is paired with each region on purpose; null regions get the plain prices.
+    """
+    far = F.coalesce(F.col("region").startswith("eu-") | F.col("region").startswith("ap-"), F.lit(False))
+    listed = F.array(*(F.struct(F.lit(c).alias("class"), F.lit(s).alias("storage"), F.lit(r / 10).alias("request")) for c, s, r in ((p["class"], p["storage"], p["request"]) for p in prices.collect())))
+    rows = regions.select("region", F.explode(listed).alias("p"))
+    return rows.select("region", "p.class", (F.col("p.storage") * F.when(far, 1.1).otherwise(1.0)).alias("storage"), "p.request")
+
+
 def cost_matrix(archives: DataFrame, prices: DataFrame) -> DataFrame:
     """Per storage class: what storing, sending and requesting all archives costs. Aggregated first, then priced."""
     total = archives.agg((F.coalesce(F.sum("size"), F.lit(0)) / F.lit(float(GIB))).alias("gb"), F.count("*").alias("n"))

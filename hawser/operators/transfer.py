@@ -115,12 +115,22 @@ def halves_trend(samples: DataFrame) -> DataFrame:
 
 
 def failure_runs(samples: DataFrame) -> DataFrame:
-    """Per link: checks, failures, failure rate in percent, failures in a row at the end, and whether it counts as failed."""
+    """Per link: checks, failures, failure rate in percent, failures in a row at the end, and whether it counts as failed.
+
+    It does with three failures in a row, with over 75 % failures in more than ten checks, or when its last check failed
+    over 15 minutes after the last good one (or none was good). A null ts tells no time, so the last rule is left out.
+    """
     order = Window.partitionBy("link").orderBy("ts", "sample_id")
-    rows = samples.select("link", "success", F.row_number().over(order).alias("_i"))
-    out = rows.groupBy("link").agg(F.count("*").alias("checks"), F.count_if(~F.col("success")).alias("failures"), F.coalesce(F.max(F.when(F.col("success"), F.col("_i"))), F.lit(0)).alias("_last_good"))
-    out = out.withColumn("consecutive", F.col("checks") - F.col("_last_good")).withColumn("failure_rate", F.try_divide(F.col("failures") * 100.0, F.col("checks"))).drop("_last_good")
-    return out.withColumn("failed", (F.col("consecutive") >= 3) | ((F.col("failure_rate") > 75) & (F.col("checks") > 10)))
+    rows = samples.select("link", "success", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"), F.row_number().over(order).alias("_i"))
+    good = F.when(F.col("success"), F.col("_i"))
+    out = rows.groupBy("link").agg(
+        F.count("*").alias("checks"), F.count_if(~F.col("success")).alias("failures"), F.coalesce(F.max(good), F.lit(0)).alias("_last_good"),
+        F.max("_at").alias("_now"), F.max(F.when(F.col("success"), F.col("_at"))).alias("_good_at"),
+    )
+    out = out.withColumn("consecutive", F.col("checks") - F.col("_last_good")).withColumn("failure_rate", F.try_divide(F.col("failures") * 100.0, F.col("checks")))
+    prolonged = (F.col("consecutive") > 0) & F.coalesce(F.col("_now") - F.col("_good_at") > 15 * 60 * 1_000_000, F.col("_last_good") == 0)
+    failed = (F.col("consecutive") >= 3) | ((F.col("failure_rate") > 75) & (F.col("checks") > 10)) | prolonged
+    return out.withColumn("failed", failed).drop("_last_good", "_now", "_good_at")
 
 
 def change_reasons(samples: DataFrame, target: float = 50.0) -> DataFrame:

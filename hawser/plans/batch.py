@@ -398,7 +398,7 @@ def _(spark, d):
     return transfer.peak_within(samples(spark, d), "INTERVAL '2' HOUR")
 
 
-@query("a30_failure_runs", f"WITH {SQL_SAMPLES}, x AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY ts, sample_id) AS i FROM samples), g AS (SELECT link, count(*) AS checks, count(*) FILTER (NOT success) AS failures, count(*) - coalesce(max(i) FILTER (success), 0) AS consecutive FROM x GROUP BY 1) SELECT link, checks, failures, consecutive, round(failures * 100.0::DOUBLE / checks, 6) AS failure_rate, consecutive >= 3 OR (failures * 100.0::DOUBLE / checks > 75 AND checks > 10) AS failed FROM g")
+@query("a30_failure_runs", f"WITH {SQL_SAMPLES}, x AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY ts, sample_id) AS i FROM samples), g AS (SELECT link, count(*) AS checks, count(*) FILTER (NOT success) AS failures, count(*) - coalesce(max(i) FILTER (success), 0) AS consecutive, epoch_us(max(ts)) AS last, epoch_us(max(ts) FILTER (success)) AS good FROM x GROUP BY 1) SELECT link, checks, failures, consecutive, round(failures * 100.0::DOUBLE / checks, 6) AS failure_rate, consecutive >= 3 OR (failures * 100.0::DOUBLE / checks > 75 AND checks > 10) OR (consecutive > 0 AND coalesce(last - good > 900000000, consecutive = checks)) AS failed FROM g")
 def _(spark, d):
     return rounded(transfer.failure_runs(samples(spark, d)), "failure_rate")
 

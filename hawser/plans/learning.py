@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import SQL_ARCHIVES, SQL_FILES, SQL_PRICES, SQL_REGIONS, SQL_SAMPLES, archives, files, prices, regions, samples, table
-from ..operators import content, history, inventory, routing, transfer
+from ..operators import content, cost, history, inventory, routing, transfer
 from ..sources import inventories
 from .batch import r6, rounded
 
@@ -238,3 +238,23 @@ def _(spark, d):
     advice = spark.createDataFrame([("network", "check the connection"), ("throttling", "lower the concurrency"), ("permission", "check the rights"), ("validation", "check the input")], "category string, advice string")
     rows = table(spark, d, "events").where("event_type = 'error'").select("event_id", S.error_category(text)["category"].alias("category"))
     return rows.join(F.broadcast(advice), "category", "left").select("event_id", "category", F.coalesce("advice", F.lit("see the log")).alias("advice"))
+
+
+_NAMES = ["General Purpose", "Infrequent Access", "One Zone - Infrequent Access", "Archive", "Deep Archive", "Intelligent-Tiering", "Outposts"]
+
+
+@query("x32_price_classes", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'STANDARD_IA' WHEN 2 THEN 'ONEZONE_IA' WHEN 3 THEN 'GLACIER' WHEN 4 THEN 'DEEP_ARCHIVE' WHEN 5 THEN 'INTELLIGENT_TIERING' END AS class FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.storage_class(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("class"))
+
+
+@query("x08_staged_types", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN 'compressed' ELSE 'binary' END AS content_type FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", S.staged_type(F.element_at(F.array(*map(F.lit, ["zstd", "gzip", "bzip2", "tar", ""])), (F.col("p_partkey") % 5 + 1).cast("int"))).alias("content_type"))
+
+
+@query("x33_fallback_prices", f"WITH {SQL_PRICES}, r AS (SELECT (CASE s_nationkey % 3 WHEN 0 THEN 'us-' WHEN 1 THEN 'eu-' ELSE 'ap-' END) || s_suppkey AS region, s_nationkey % 3 AS k FROM supplier) SELECT region, class, round(storage * CASE WHEN k = 0 THEN 1.0::DOUBLE ELSE 1.1::DOUBLE END, 9) AS storage, round(request / 10, 9) AS request FROM r, prices")
+def _(spark, d):
+    far = F.element_at(F.array(*map(F.lit, ["us-", "eu-", "ap-"])), (F.col("s_nationkey") % 3 + 1).cast("int"))
+    rows = cost.fallback_prices(table(spark, d, "supplier").select(F.concat(far, F.col("s_suppkey").cast("string")).alias("region")), prices(spark))
+    return rows.select("region", "class", F.round("storage", 9).alias("storage"), F.round("request", 9).alias("request"))
