@@ -29,8 +29,7 @@ INVENTORY = T.StructType(
     ]
 )
 
-#: Members listed of one archive at most, before it is taken for a broken one.
-MOST_MEMBERS = 100_000
+_ZSTD = b"\x28\xb5\x2f\xfd"  # fixed value: how a zstd frame begins
 
 
 def scan_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -82,28 +81,35 @@ def inventory_json(files: DataFrame) -> DataFrame:
     return files.select(F.to_json(F.struct(*files.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
-def members(content: bytes) -> list[str]:
-    """Paths of the files in a tar (plain, gz, bz2) or zip, sorted; none for anything else."""
+def members(content: bytes) -> list[str] | None:
+    """Paths of the files in a tar (plain, gz, bz2, xz, zst) or zip, sorted; none for anything else, null for an archive
+    that is broken or cut off."""
     try:
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            found = sorted(m.name for m in t if m.isfile())
-    except tarfile.TarError:
-        try:
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                found = sorted(n for n in z.namelist() if not n.endswith("/"))
-        except zipfile.BadZipFile:
-            return []
-    if len(found) > MOST_MEMBERS:
-        raise ValueError(f"over {MOST_MEMBERS} members in one archive")
-    return found
+        source = io.BytesIO(content)
+        if content[:4] == _ZSTD:
+            import zstandard
+
+            with zstandard.ZstdDecompressor().stream_reader(source) as plain, tarfile.open(fileobj=plain, mode="r|") as t:
+                return sorted(m.name for m in t if m.isfile())
+        if zipfile.is_zipfile(source):
+            with zipfile.ZipFile(source) as z:
+                return sorted(n for n in z.namelist() if not n.endswith("/"))
+        source.seek(0)
+        with tarfile.open(fileobj=source) as t:
+            return sorted(m.name for m in t if m.isfile())
+    except tarfile.ReadError as problem:
+        signs = ("unexpected end", "truncated", "empty") if content[:4] == _ZSTD else ("unexpected end",)
+        return None if any(sign in str(problem) for sign in signs) else []
+    except Exception:  # decompressors raise errors of their own kinds (EOFError, zlib.error, OSError, LZMAError, ZstdError)
+        return None
 
 
 def archive_tocs(archives: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """(key, toc): sorted member paths of each archive; an empty list for what is no archive."""
+    """(key, toc): sorted member paths of each archive; an empty list for what is no archive, null for a broken one."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def listed(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda c: members(c) if c is not None else [])
+        return pd.Series([members(c) if c is not None else [] for c in contents], dtype=object)
 
     return archives.select(key, listed(content).alias("toc"))
 

@@ -67,3 +67,27 @@ def test_entry_imports_without_llm(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_members_of_whole_and_broken_archives():
+    import bz2
+    import gzip
+    import io
+    import tarfile
+
+    import zstandard
+
+    from hawser.sources.inventories import members
+
+    held = io.BytesIO()
+    with tarfile.open(fileobj=held, mode="w") as t:
+        for name in ("b/two", "a/one"):
+            info = tarfile.TarInfo(name)
+            info.size = 5000
+            t.addfile(info, io.BytesIO(b"x" * 5000))
+    plain = held.getvalue()
+    for whole in (plain, gzip.compress(plain), bz2.compress(plain), zstandard.compress(plain)):
+        assert members(whole) == ["a/one", "b/two"]
+    for broken in (gzip.compress(plain)[:-20], zstandard.compress(plain)[:20], gzip.compress(plain)[:60]):
+        assert members(broken) is None
+    assert members(b"") == [] and members(b"no archive at all") == []
