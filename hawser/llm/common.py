@@ -63,6 +63,6 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def checked_broadcast(small: DataFrame, n_bytes: int | None) -> DataFrame:
+def checked_broadcast(small: DataFrame, n_bytes: int | None, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """`small` with a broadcast hint when its measured bytes stay under the limit, else as it is (a shuffled join)."""
-    return F.broadcast(small) if (n_bytes or 0) <= BROADCAST_LIMIT_BYTES else small
+    return F.broadcast(small) if (n_bytes or 0) <= limit else small
