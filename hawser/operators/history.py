@@ -187,6 +187,26 @@ def pattern_boundaries(patterns: DataFrame, key: str, target: int) -> DataFrame:
     return fold(rows, key, ["offset", "length", "type"], lambda: (0, None), step, lambda s: [], f"{key} long, start long, stop long, why string")
 
 
+def pattern_alignment(boundaries: DataFrame, patterns: DataFrame, key: str, tolerance: int = 1024) -> DataFrame:
+    """How well each boundary (key, stop) meets the transitions of its key's patterns (offset, compressibility).
+
+    A transition is where a pattern other than the first begins; within `tolerance` it scores its nearness times the
+    change of compressibility, and a boundary takes the mean, 0.5 if no transition is near. Both sides are dealt by key
+    and cells of `tolerance`, so a boundary meets the three cells around it and not all transitions of its key.
+    Repeated boundaries give one row; a null key or stop is near nothing.
+    """
+    before = F.lag("compressibility").over(Window.partitionBy(key).orderBy("offset", "compressibility"))
+    cell = lambda x: F.floor(F.col(x) / tolerance).cast("long")
+    transitions = patterns.select(key, "offset", F.abs(F.col("compressibility") - before).alias("_change")).where("_change is not null")
+    transitions = transitions.select(F.col(key).alias("_key"), cell("offset").alias("_cell"), "offset", "_change")
+    around = F.explode_outer(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: cell("stop") + i))
+    dealt = boundaries.select(key, "stop").distinct().select(key, "stop", around.alias("_at"))
+    distance = F.abs(F.col("stop") - F.col("offset"))
+    met = dealt.join(transitions, (F.col(key) == F.col("_key")) & (F.col("_at") == F.col("_cell")), "left")
+    score = F.when(distance <= tolerance, (1 - distance / tolerance) * F.col("_change"))
+    return met.groupBy(key, "stop").agg(F.coalesce(F.avg(score), F.lit(0.5)).alias("alignment"))
+
+
 def alternatives(per_link: DataFrame, samples: DataFrame) -> DataFrame:
     """For links whose last five fell under 0.7 of their history: the link with the best recent mean over 1.2 times theirs.
 

@@ -150,6 +150,27 @@ def _(spark, d):
     return history.pattern_boundaries(rows, "l_orderkey", 40)
 
 
+@query(
+    "j08_pattern_alignment",
+    """WITH p AS (SELECT l_orderkey, coalesce(sum(CAST(l_quantity AS BIGINT) * 64) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_discount ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts, CAST(l_quantity AS BIGINT) * 64 AS length, CAST(l_discount * 10 AS DOUBLE) AS compressibility FROM lineitem),
+    t AS (SELECT l_orderkey, starts, abs(compressibility - lag(compressibility) OVER (PARTITION BY l_orderkey ORDER BY starts, compressibility)) AS change FROM p),
+    e AS (SELECT l_orderkey, max(starts + length) AS total FROM p GROUP BY 1),
+    b AS (SELECT l_orderkey, unnest(generate_series(2048, CAST(total AS BIGINT), 2048)) AS stop FROM e)
+    SELECT b.l_orderkey, b.stop, round(coalesce(avg((1 - abs(b.stop - t.starts) / 1024.0::DOUBLE) * t.change), 0.5::DOUBLE), 9) AS alignment
+    FROM b LEFT JOIN t ON b.l_orderkey = t.l_orderkey AND t.change IS NOT NULL AND abs(b.stop - t.starts) <= 1024 GROUP BY 1, 2""",
+)
+def _(spark, d):
+    """Boundaries at every 2048 bytes of an order against the transitions between its lines. Nine decimals, as halves of the sixth occur."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_discount").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("l_quantity").cast("long") * 64
+    patterns = table(spark, d, "lineitem").select("l_orderkey", F.coalesce(F.sum(size).over(before), F.lit(0)).alias("offset"), size.alias("length"), (F.col("l_discount") * 10).cast("double").alias("compressibility"))
+    total = patterns.groupBy("l_orderkey").agg(F.max(F.col("offset") + F.col("length")).alias("total")).where("total >= 2048")
+    boundaries = total.select("l_orderkey", F.explode(F.sequence(F.lit(2048).cast("long"), F.col("total"), F.lit(2048).cast("long"))).alias("stop"))
+    return history.pattern_alignment(boundaries, patterns, "l_orderkey").withColumn("alignment", F.round("alignment", 9))
+
+
 @query("w18_alternatives", f"WITH {SQL_SAMPLES}, k AS (SELECT *, row_number() OVER (PARTITION BY link ORDER BY ts DESC, sample_id DESC) AS b FROM samples QUALIFY b <= 20), p AS (SELECT link, avg(bandwidth) FILTER (b <= 3) AS recent, avg(bandwidth) FILTER (b <= 5) AS five, avg(bandwidth) AS overall FROM k GROUP BY 1 HAVING count(*) >= 5), x AS (SELECT link AS l, recent AS r FROM p ORDER BY recent DESC, link LIMIT 1) SELECT link, CASE WHEN five < overall * 0.7 AND l <> link AND r > five * 1.2 THEN l ELSE link END AS chosen FROM p, x")
 def _(spark, d):
     s = samples(spark, d)

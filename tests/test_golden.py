@@ -234,3 +234,13 @@ def test_pattern_boundaries(spark):
     df = spark.createDataFrame(rows, "k long, offset long, length long, type string, compressibility double")
     got = sorted((r.k, r.start, r.stop, r.why) for r in history.pattern_boundaries(df, "k", 40).collect())
     assert got == [(1, 0, 30, "transition"), (1, 30, 60, "transition"), (1, 60, 110, "compressible")]
+
+
+def test_pattern_alignment(spark):
+    from hawser.operators import history
+
+    patterns = spark.createDataFrame([("a", 0, 0.5), ("a", 1000, 0.75), ("a", 2024, 0.25), ("b", 0, 0.5)], "f string, offset long, compressibility double")
+    boundaries = spark.createDataFrame([("a", 1512), ("a", 1512), ("a", 1000), ("a", 9000), ("b", 10), ("c", 10), (None, 1), ("a", None)], "f string, stop long")
+    got = {(r.f, r.stop): r.alignment for r in history.pattern_alignment(boundaries, patterns, "f").collect()}
+    # 1512 lies 512 from both transitions: half of 0.25 and half of 0.5; 1000 also meets the far one, at nearness 0
+    assert got == {("a", 1512): 0.1875, ("a", 1000): 0.125, ("a", 9000): 0.5, ("b", 10): 0.5, ("c", 10): 0.5, (None, 1): 0.5, ("a", None): 0.5}
