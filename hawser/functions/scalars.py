@@ -254,7 +254,7 @@ def ratio_from_content(kind: Column) -> Column:
     )
 
 
-def storage_class(name: Column) -> Column:
+def price_class(name: Column) -> Column:
     """Class code of a price list's name; null for names it doesn't know."""
     return ladder([(name == n, c) for n, c in CLASS_NAMES.items()], F.lit(None).cast("string"))
 

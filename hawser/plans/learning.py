@@ -266,7 +266,7 @@ _NAMES = ["General Purpose", "Infrequent Access", "One Zone - Infrequent Access"
 
 @query("x32_price_classes", "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'STANDARD_IA' WHEN 2 THEN 'ONEZONE_IA' WHEN 3 THEN 'GLACIER' WHEN 4 THEN 'DEEP_ARCHIVE' WHEN 5 THEN 'INTELLIGENT_TIERING' END AS class FROM part")
 def _(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.storage_class(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("class"))
+    return table(spark, d, "part").select("p_partkey", S.price_class(F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("p_partkey") % 7 + 1).cast("int"))).alias("class"))
 
 
 @query("x08_staged_types", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN 'compressed' ELSE 'binary' END AS content_type FROM part")
