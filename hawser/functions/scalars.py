@@ -67,22 +67,50 @@ def truncated(value: Column) -> Column:
     return value.cast("long")
 
 
-def human_bytes(size: Column) -> Column:
-    """`512 B`, `1.5 KB`: units of 1024 with one decimal, up to PB."""
+def fixed(value: Column, decimals: int) -> Column:
+    """A double with so many decimals as C's printf rounds it: by its exact value, ties to the even digit.
+
+    `format_string` rounds the shortest decimal form of the double, and ties up. The fraction's product with the power
+    of ten is taken with its rounding error (Dekker), so it is exact. Numbers of 2**53 or more are whole and go to
+    `format_string`, as do NaN and the infinities.
+    """
+    unit = 10**decimals
+    size = F.abs(value)
+    base = F.floor(size)
+    part = size - base
+    scaled = part * F.lit(float(unit))
+    high = part * F.lit(134217729.0) - (part * F.lit(134217729.0) - part)
+    error = (part - high) * F.lit(float(unit)) - (scaled - high * F.lit(float(unit)))
+    whole = F.floor(scaled)
+    over = scaled - whole
+    odd = (whole if decimals else base) % 2 == 1
+    up = (over > 0.5) | ((over == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    units = whole + F.when(up, 1).otherwise(0)
+    digits = (base + F.when(units == unit, 1).otherwise(0) if decimals else base + units).cast("string")
+    if decimals:
+        digits = F.concat(digits, F.lit("."), F.lpad((units % unit).cast("string"), decimals, "0"))
+    return F.when(size < F.lit(float(1 << 53)), F.concat(F.when(value < 0, "-").otherwise(""), digits)).otherwise(F.format_string(f"%.{decimals}f", value))
+
+
+def human_bytes(size: Column, largest: str = "PB") -> Column:
+    """`512 B`, `1.5 KB`: units of 1024 with one decimal, up to `largest`."""
     units = ["KB", "MB", "GB", "TB", "PB"]
-    rules = [(size < 1024, F.concat(size.cast("string"), F.lit(" B")))]
-    rules += [(size < F.lit(1 << (10 * (i + 2))), F.format_string(f"%.1f {u}", size / F.lit(float(1 << (10 * (i + 1)))))) for i, u in enumerate(units[:-1])]
-    return ladder(rules, F.format_string("%.1f PB", size / F.lit(float(1 << 50))))
+    units = units[: units.index(largest) + 1]
+    below = [size < F.lit(1 << (10 * (i + 2))) for i in range(len(units) - 1)]
+    scaled = size / ladder([(b, float(1 << (10 * (i + 1)))) for i, b in enumerate(below)], float(1 << (10 * len(units))))
+    text = F.concat(fixed(scaled, 1), ladder([(b, f" {u}") for b, u in zip(below, units, strict=False)], f" {largest}"))
+    return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(text)
 
 
-def human_bytes_si(size: Column) -> Column:
-    """`3.0 kB`: units of 1000; one decimal below ten of a unit, none above."""
+def human_bytes_si(size: Column, largest: str = "EB") -> Column:
+    """`3.0 kB`: units of 1000 up to `largest`; one decimal below ten of a unit (not of EB), none above."""
     units = ["kB", "MB", "GB", "TB", "PB"]
+    units = units[: units.index(largest) + 1] if largest != "EB" else units
     rules = [(size < 10, F.format_string("%d B", size)), (size < 1000, F.format_string("%d B", size))]
     for i, u in enumerate(units):
         scaled = F.floor(size / F.lit(float(10 ** (3 * i + 3))) * 10 + 0.5) / 10
         text = F.when(scaled < 10, F.format_string(f"%.1f {u}", scaled)).otherwise(F.concat(F.bround(scaled, 0).cast("long").cast("string"), F.lit(f" {u}")))
-        rules.append((size < F.lit(10 ** (3 * i + 6)), text))
+        rules.append((F.lit(True) if u == largest else size < F.lit(10 ** (3 * i + 6)), text))
     return ladder(rules, F.concat(F.bround(size / F.lit(1e18), 0).cast("long").cast("string"), F.lit(" EB")))
 
 
@@ -100,7 +128,7 @@ def human_duration(seconds: Column) -> Column:
     return ladder(
         [
             (seconds <= 0, "0s"),
-            (seconds < 60, F.format_string("%.0fs", seconds.cast("double"))),
+            (seconds < 60, F.concat(fixed(seconds.cast("double"), 0), F.lit("s"))),
             (seconds < 3600, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)),
         ],
         F.format_string("%dh %dm", F.floor(whole / 3600), F.floor(whole / 60) % 60),

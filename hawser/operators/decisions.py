@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ladder
+from ..functions.scalars import fixed, ladder
 
 # Fixed values by reason: (added streams, added MB, window, congestion window, slow start, algorithm); no streams or MB
 # added for network_degradation, which sets 2 and 10.
@@ -125,7 +125,7 @@ def overhead_percent(n: Column) -> Column:
 
 def reliability_key(size: Column, compression: Column, bandwidth: Column, latency: Column, congestion: Column) -> Column:
     """Text that stands for a boundary and a condition with its numbers rounded."""
-    return F.format_string("boundary_%d_%d_network_%.1f_%.1f_%.3f", size.cast("long"), (compression * 100).cast("int"), bandwidth, latency, congestion)
+    return F.format_string("boundary_%d_%d_network_%s_%s_%s", size.cast("long"), (compression * 100).cast("int"), fixed(bandwidth, 1), fixed(latency, 1), fixed(congestion, 3))
 
 
 def failover_routes(requests: DataFrame, regions: DataFrame) -> DataFrame:
