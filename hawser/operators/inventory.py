@@ -30,10 +30,10 @@ def listable(files: DataFrame) -> DataFrame:
     return files.where(is_listable(F.col("name")))
 
 
-def bin_summaries(packed: DataFrame) -> DataFrame:
-    """Per bin: count, size and its readable form."""
+def bin_summaries(packed: DataFrame, largest: str = "EB") -> DataFrame:
+    """Per bin: count, size and its readable form in units up to `largest`."""
     out = packed.groupBy("suitcase_index").agg(F.count("*").alias("count"), F.sum("size").cast("long").alias("size"))
-    return out.withColumn("human_size", human_bytes_si(F.col("size")))
+    return out.withColumn("human_size", human_bytes_si(F.col("size"), largest))
 
 
 def bins_with_total(packed: DataFrame) -> DataFrame:
@@ -69,8 +69,8 @@ def matching_directories(files: DataFrame, pattern: str) -> DataFrame:
     return files.where(F.contains(F.lower(folder), low)).select(cut.alias("directory")).distinct()
 
 
-def search_directories(files: DataFrame, pattern: str) -> DataFrame:
-    """Per matching directory: total size and distinct bins of the files below its prefix.
+def search_directories(files: DataFrame, pattern: str, largest: str = "EB") -> DataFrame:
+    """Per matching directory: total size (readable in units up to `largest`) and distinct bins of the files below its prefix.
 
     Membership is by bare prefix. Directories are found among the files' own prefixes: a file meets only directories
     of its own destination's lengths, so the join is on equality, not on a range.
@@ -83,7 +83,7 @@ def search_directories(files: DataFrame, pattern: str) -> DataFrame:
         F.substring(F.col("destination"), F.lit(1), F.col("n")).alias("directory"), "size", "suitcase_index"
     )
     out = cut.join(directories, "directory").groupBy("directory").agg(F.sum("size").cast("long").alias("total_size"), F.countDistinct("suitcase_index").alias("suitcases"))
-    return out.withColumn("total_size_hr", human_bytes_si(F.col("total_size")))
+    return out.withColumn("total_size_hr", human_bytes_si(F.col("total_size"), largest))
 
 
 def tree(files: DataFrame) -> DataFrame:
