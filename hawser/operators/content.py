@@ -115,27 +115,70 @@ def tar_headers(contents: DataFrame, key: str, content: str = "content") -> Data
     return found.where("name <> ''")
 
 
+#: Boundaries that keep_apart holds before it decides over them.
+BOUNDARIES_HELD = 50_000
+
+
+def _fates(starts: list, ends: list, tolerance: int, edge: float) -> list[int]:
+    """1, 0 or -1 for each boundary in order: kept, left out, or open, as boundaries that start at `edge` or later may decide it."""
+    cells: dict[tuple, list[tuple]] = {}
+    out = []
+    for a, b in zip(starts, ends, strict=True):
+        i, j = a // tolerance, b // tolerance
+        near = [fate for di in (-1, 0, 1) for dj in (-1, 0, 1) for x, y, fate in cells.get((i + di, j + dj), ()) if abs(a - x) < tolerance and abs(b - y) < tolerance]
+        fate = 0 if 1 in near else -1 if near or a > edge - tolerance else 1
+        if fate:
+            cells.setdefault((i, j), []).append((a, b, fate))
+        out.append(fate)
+    return out
+
+
 def keep_apart(candidates: DataFrame, shard: str, tolerance: int = 1024) -> DataFrame:
     """Boundaries (shard, ordinal, start_offset, end_offset) less those near one kept before: both ends within `tolerance`.
 
-    Keep-first is sequential within a shard; a shard is a streamed sort that remembers kept boundaries by cell of
-    `tolerance`, so each looks at nine cells, not at all that were kept.
+    Keep-first is sequential within a shard, but a boundary meets only those that start within `tolerance` of it. So a
+    shard is one stream sorted by start, and the boundaries held are decided in order of ordinal, except those whose
+    fate hangs on boundaries to come: within `tolerance` of the last start, or near an open one of smaller ordinal. Only
+    these are held on. Boundaries without both offsets are near none; a null shard is a shard, a null ordinal the first.
     """
-    ordered = candidates.select(shard, "ordinal", "start_offset", "end_offset").repartition(shard).sortWithinPartitions(shard, "ordinal")
+    ordered = candidates.select(shard, "ordinal", "start_offset", "end_offset").repartition(shard).sortWithinPartitions(shard, "start_offset")
+    columns = ["ordinal", "start_offset", "end_offset"]
 
     def keep(batches):
-        of, cells = None, {}
+        of, held, n, most = None, [], 0, BOUNDARIES_HELD
+
+        def decided(edge: float) -> pd.DataFrame:
+            nonlocal held, n, most
+            ordinal, start, end = (np.concatenate(c) for c in zip(*held, strict=True))
+            far = np.diff(start) >= tolerance
+            fate = np.where(np.concatenate([[True], far]) & np.concatenate([far, [edge == np.inf]]), 1, -1)
+            met = np.flatnonzero(fate < 0)
+            met = met[np.lexsort((end[met], start[met], np.where(np.isnan(ordinal[met]), -np.inf, ordinal[met]) if ordinal.dtype.kind == "f" else ordinal[met]))]
+            fate[met] = _fates(start[met].tolist(), end[met].tolist(), tolerance, edge)
+            left = fate < 0
+            held = [(ordinal[left], start[left], end[left])] if left.any() else []
+            n = int(left.sum())
+            most = max(BOUNDARIES_HELD, 2 * n)
+            kept = fate > 0
+            return pd.DataFrame({shard: pd.Series([of] * int(kept.sum()), dtype=kind), "ordinal": ordinal[kept], "start_offset": start[kept], "end_offset": end[kept]})
+
+        kind = None
         for batch in batches:
-            mask = []
-            for s, a, b in zip(batch[shard], batch["start_offset"], batch["end_offset"], strict=True):
-                if s != of:
-                    of, cells = s, {}
-                i, j = a // tolerance, b // tolerance
-                near = any(abs(a - x) < tolerance and abs(b - y) < tolerance for di in (-1, 0, 1) for dj in (-1, 0, 1) for x, y in cells.get((i + di, j + dj), ()))
-                if not near:
-                    cells.setdefault((i, j), []).append((a, b))
-                mask.append(not near)
-            yield batch[pd.Series(mask, index=batch.index)]
+            placed = batch["start_offset"].notna() & batch["end_offset"].notna()
+            if not placed.all():
+                yield batch[~placed]
+                batch = batch[placed].astype({"start_offset": "int64", "end_offset": "int64"})
+            kind = batch[shard].dtype
+            for s, part in batch.groupby(shard, sort=False, dropna=False):
+                if held and not (s == of or pd.isna(s) and pd.isna(of)):
+                    yield decided(np.inf)
+                of = s
+                held.append(tuple(part[c].to_numpy() for c in columns))
+                n += len(part)
+                if n > most:
+                    yield decided(held[-1][1][-1])
+        if held:
+            yield decided(np.inf)
 
     return ordered.mapInPandas(keep, f"`{shard}` {dict(candidates.dtypes)[shard]}, ordinal long, start_offset long, end_offset long")
 
