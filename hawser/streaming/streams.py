@@ -6,6 +6,9 @@ there has been read (availableNow) and land in a Parquet table in the shared fol
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..session import shared_dir
 
 WATERMARK = "10 minutes"
+#: Rows of a key's micro-batch that are sorted in memory, and those that are read back or sent on at a time.
+ROWS_SORTED, ROWS_AT_ONCE = 200_000, 10_000
 
 
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +61,53 @@ def first_within_watermark(samples: DataFrame, keys: list[str]) -> DataFrame:
     return samples.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(keys)
 
 
+def in_order(pdfs: Iterator[pd.DataFrame], columns: list[str], order: list[str]) -> Iterator[tuple]:
+    """Rows (columns) of a key's micro-batch sorted by `order`, missing values last; beyond ROWS_SORTED they wait as sorted
+    runs in temporary files and are merged, so a key of any size takes as much memory.
+    """
+    places = [columns.index(c) for c in order]
+
+    def place(row: tuple) -> list[tuple]:
+        return [(1, 0) if row[i] is None or row[i] != row[i] else (0, row[i]) for i in places]
+
+    def rows(run) -> Iterator[tuple]:
+        with run:
+            while chunk := pickle.load(run):
+                yield from chunk
+
+    def saved(held: pd.DataFrame):
+        run = tempfile.TemporaryFile()
+        for at in range(0, len(held), ROWS_AT_ONCE):
+            pickle.dump(list(held.iloc[at : at + ROWS_AT_ONCE].itertuples(index=False, name=None)), run)
+        pickle.dump(None, run)
+        run.seek(0)
+        return run
+
+    runs, held, n = [], [], 0
+
+    def whole() -> pd.DataFrame:
+        return (pd.concat(held) if len(held) > 1 else held[0]).sort_values(order)
+
+    for pdf in pdfs:
+        held.append(pdf[columns])
+        n += len(pdf)
+        if n >= ROWS_SORTED:
+            runs.append(saved(whole()))
+            held, n = [], 0
+    last = whole().itertuples(index=False, name=None) if held else iter(())
+    yield from heapq.merge(*map(rows, runs), last, key=place) if runs else last
+
+
+def _in_chunks(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    chunk = []
+    for row in rows:
+        chunk.append(row)
+        if len(chunk) >= ROWS_AT_ONCE:
+            yield pd.DataFrame(chunk, columns=columns)
+            chunk = []
+    yield pd.DataFrame(chunk, columns=columns)
+
+
 # Congestion control -------------------------------------------------------------------------------------------------
 
 FSM_STATE = "phase string, window int, threshold int, bandwidth double, last_event double"
@@ -108,15 +160,18 @@ def _runs(pdf: pd.DataFrame, state: tuple, step: Callable[[tuple, float, float,
 def congestion_stream(samples: DataFrame) -> DataFrame:
     """FSM_OUT for every sample (link, sample_id, at, bandwidth, latency_ms, loss), state kept per link.
 
-    Within a micro-batch a link's samples are taken in order of time; state and batch are bound by one link's rows of
-    one micro-batch.
+    Within a micro-batch a link's samples are taken in order of time, by `in_order`; memory is bound whatever their number.
     """
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs)).sort_values(["at", "sample_id"])
-        rows, after = _runs(batch, state.get if state.exists else FSM_START, congestion_step)
-        state.update(after)
-        yield pd.DataFrame([(key[0], *r) for r in rows], columns=["link", "sample_id", "phase", "window", "threshold", "bandwidth"])
+        def rows() -> Iterator[tuple]:
+            now = state.get if state.exists else FSM_START
+            for sample_id, at, bandwidth, latency, loss in in_order(pdfs, ["sample_id", "at", "bandwidth", "latency_ms", "loss"], ["at", "sample_id"]):
+                now = congestion_step(now, at, bandwidth, latency, loss)
+                yield (key[0], int(sample_id), *now[:4])
+            state.update(now)
+
+        yield from _in_chunks(rows(), ["link", "sample_id", "phase", "window", "threshold", "bandwidth"])
 
     return samples.groupBy("link").applyInPandasWithState(run, FSM_OUT, FSM_STATE, "append", GroupStateTimeout.NoTimeout)
 
@@ -146,18 +201,19 @@ def failover_stream(samples: DataFrame, attempts: int = 3) -> DataFrame:
     """Transitions (link, sample_id, event, failures): failover after `attempts` failures in a row, recovered at the next success."""
 
     def run(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, down = state.get if state.exists else (0, False)
-        rows = []
-        for r in pd.concat(list(pdfs)).sort_values(["at", "sample_id"]).itertuples():
-            failures = 0 if r.success else failures + 1
-            if failures >= attempts and not down:
-                down = True
-                rows.append((key[0], r.sample_id, "failover", failures))
-            elif r.success and down:
-                down = False
-                rows.append((key[0], r.sample_id, "recovered", 0))
-        state.update((failures, down))
-        yield pd.DataFrame(rows, columns=["link", "sample_id", "event", "failures"])
+        def rows() -> Iterator[tuple]:
+            failures, down = state.get if state.exists else (0, False)
+            for sample_id, _, success in in_order(pdfs, ["sample_id", "at", "success"], ["at", "sample_id"]):
+                failures = 0 if success else failures + 1
+                if failures >= attempts and not down:
+                    down = True
+                    yield key[0], sample_id, "failover", failures
+                elif success and down:
+                    down = False
+                    yield key[0], sample_id, "recovered", 0
+            state.update((failures, down))
+
+        yield from _in_chunks(rows(), ["link", "sample_id", "event", "failures"])
 
     return samples.groupBy("link").applyInPandasWithState(run, "link long, sample_id long, event string, failures int", "failures int, down boolean", "append", GroupStateTimeout.NoTimeout)
 
@@ -174,14 +230,17 @@ def sticky_stream(requests: DataFrame, ttl_seconds: float) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        session, rows = state.get if state.exists else None, []
-        for r in pd.concat(list(pdfs)).sort_values(["at", "id"]).itertuples():
-            if session is None or r.at - session[0] > ttl_seconds:
-                session = (r.at, r.region)
-            rows.append((key[0], r.id, *session))
-        state.update(session)
-        state.setTimeoutTimestamp(max(int((session[0] + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=["key", "id", "start", "region"])
+
+        def rows() -> Iterator[tuple]:
+            session = state.get if state.exists else None
+            for i, at, region in in_order(pdfs, ["id", "at", "region"], ["at", "id"]):
+                if session is None or at - session[0] > ttl_seconds:
+                    session = (at, region)
+                yield (key[0], i, *session)
+            state.update(session)
+            state.setTimeoutTimestamp(max(int((session[0] + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+
+        yield from _in_chunks(rows(), ["key", "id", "start", "region"])
 
     marked = requests.withWatermark("ts", WATERMARK)
     return marked.groupBy("key").applyInPandasWithState(run, "key long, id long, start double, region string", "start double, region string", "append", GroupStateTimeout.EventTimeTimeout)

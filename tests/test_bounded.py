@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 
 from hawser.operators import content
+from hawser.streaming import streams
 
 
 def first_kept(rows, tolerance=1024):
@@ -45,3 +47,12 @@ def test_keep_apart_holds_few_boundaries(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == first_kept(rows)
     assert len(held) > 20 and max(held) < 400  # 2105 rows, of which the shards hold 900 at most
     assert {(r.shard, r.ordinal) for r in content.keep_apart(given, "shard").collect()} == set(got)
+
+
+def test_in_order_merges_runs(monkeypatch):
+    monkeypatch.setattr(streams, "ROWS_SORTED", 30)
+    monkeypatch.setattr(streams, "ROWS_AT_ONCE", 7)
+    run = np.random.default_rng(1)
+    rows = pd.DataFrame({"x": run.permutation(500), "at": np.where(run.random(500) < 0.1, np.nan, run.integers(0, 40, 500)), "name": [f"r{i}" for i in range(500)]})
+    got = list(streams.in_order((rows.iloc[k : k + 11] for k in range(0, 500, 11)), ["x", "at", "name"], ["at", "x"]))
+    assert [r[2] for r in got] == rows.sort_values(["at", "x"])["name"].tolist()
