@@ -183,16 +183,46 @@ def keep_apart(candidates: DataFrame, shard: str, tolerance: int = 1024) -> Data
     return ordered.mapInPandas(keep, f"`{shard}` {dict(candidates.dtypes)[shard]}, ordinal long, start_offset long, end_offset long")
 
 
+#: Places of a text whose eight bytes are compared with all later ones at once.
+_PROBES = 4096
+
+
+def _likely_periods(data: np.ndarray, least: int, most: int, times: int) -> list[int]:
+    """The periods from `least` to `most` with which `data` may repeat a block `times` times; all others surely don't.
+
+    A stretch of a period has (times - 1) * period or more bytes that equal the one a period later, so all eight bytes
+    from a place do at seven places less, and one place in `step` is enough to see a stretch of the shortest period.
+    Longer ones are seen at several such places in a row.
+    """
+    step = (times - 1) * least - 7
+    if step < 1 or len(data) < least + 8:
+        return list(range(least, most + 1))
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(most + 8, np.uint8)]), 8).copy().view(np.uint64)[:, 0]
+    probes = np.arange(0, len(data) - least - 7, step)
+    later = np.lib.stride_tricks.sliding_window_view(eight, most + 1)[:, least:]
+    hits = sum((later[at] == eight[at, None]).sum(axis=0) for at in (probes[k : k + _PROBES] for k in range(0, len(probes), _PROBES)))
+    out = []
+    for period in range(least, most + 1):
+        run = ((times - 1) * period - 7) // step
+        if hits[period - least] >= run:
+            if run > 1:
+                so_far = np.concatenate([[0], np.cumsum(eight[probes] == eight[probes + period])])
+                if not (so_far[run:] - so_far[:-run] == run).any():
+                    continue
+            out.append(period)
+    return out
+
+
 def repeats(texts: DataFrame, key: str, text: str = "text", least: int = 16, times: int = 3) -> DataFrame:
     """Patterns of the UTF-8 bytes: (key, offset, length, period, kind).
 
     `repetitive`: a block of `least` to 256 bytes stands `times` or more times in a row. A byte that equals the one a
-    period later extends the stretch, so each period is one pass; a stretch is left out only where it lies inside one
+    period later extends the stretch, so each period is one pass, if probes of the text allow it; a stretch is left out only where it lies inside one
     of a divisor of its period. `random`: a tumbling window of 1024 bytes of over 7 bits of entropy, without period.
     """
     def stretches(data: np.ndarray):
         found: dict[int, tuple[list[int], list[int]]] = {}
-        for period in range(least, min(256, len(data) // times) + 1):
+        for period in _likely_periods(data, least, min(256, len(data) // times), times):
             same = np.concatenate([[False], data[period:] == data[:-period], [False]])
             edges = np.flatnonzero(same[1:] != same[:-1])
             a, b = edges[::2], edges[1::2]

@@ -56,3 +56,20 @@ def test_in_order_merges_runs(monkeypatch):
     rows = pd.DataFrame({"x": run.permutation(500), "at": np.where(run.random(500) < 0.1, np.nan, run.integers(0, 40, 500)), "name": [f"r{i}" for i in range(500)]})
     got = list(streams.in_order((rows.iloc[k : k + 11] for k in range(0, 500, 11)), ["x", "at", "name"], ["at", "x"]))
     assert [r[2] for r in got] == rows.sort_values(["at", "x"])["name"].tolist()
+
+
+def test_likely_periods_hold_all_that_repeat():
+    run = random.Random(3)
+    least, times = 16, 3
+    for _ in range(400):
+        parts = [bytes(run.choices(b"ab", k=run.randrange(300))) for _ in range(3)]
+        period = run.choice([16, 17, 25, 64, 100, 255, 256])
+        block = bytes(run.choices(b"abcdefgh", k=period))
+        data = np.frombuffer(parts[0] + block * run.choice([2, 3, 4]) + block[: run.randrange(period)] + parts[1] + b"x" * run.randrange(80) + parts[2], np.uint8)
+        most = min(256, len(data) // times)
+        repeating = []
+        for p in range(least, most + 1):
+            same = "".join("1" if x else "0" for x in (data[p:] == data[:-p]))
+            if max(map(len, same.split("0"))) >= (times - 1) * p:
+                repeating.append(p)
+        assert set(repeating) <= set(content._likely_periods(data, least, most, times))
