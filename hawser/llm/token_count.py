@@ -13,6 +13,7 @@ and around white-space runs. Texts holding a special string of the tokenizer go
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sys
 from array import array
@@ -35,6 +36,8 @@ _ALIKE = "\u0530"
 
 _RUN = regex.compile(r"(\s{2,})")
 _encoders: dict = {}
+#: In the driver, by application and the file's contents: reading the vocabulary anew for each query left some 20 MB behind.
+_broadcasts: dict = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -76,8 +79,12 @@ def frequent_pieces(spec_json: str) -> dict[str, bytes]:
             continue
         if word[:1] == " " and len(word) > 1 and not any(c.isspace() for c in word[1:]):
             words.append(word)
-    encoded = Tokenizer.from_str(spec_json).encode_batch(words, add_special_tokens=False)
-    return {w[1:]: ids_bytes(e.ids) for w, e in zip(words, encoded, strict=True)}
+    del spec
+    tokenizer, out = Tokenizer.from_str(spec_json), {}
+    for at in range(0, len(words), 1000):  # an encoding takes far more memory than its ids, and the driver holds these
+        part = words[at : at + 1000]
+        out |= {w[1:]: ids_bytes(e.ids) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True)}
+    return out
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -178,19 +185,26 @@ class Encoder:
 
 
 class SharedTokenizer:
-    """The tokenizer's file and first tier, broadcast once; each worker builds its encoder once."""
+    """The tokenizer's file and first tier, broadcast once an application; each worker builds its encoder once."""
 
     def __init__(self, spark: SparkSession, path: str, cache_entries: int = CACHE_ENTRIES):
-        if path.endswith(".model"):
-            with open(path, "rb") as f:
-                self.shared = spark.sparkContext.broadcast(("model", f.read(), None))
-        else:
-            with open(path, encoding="utf-8") as f:
-                spec_json = f.read()
-            first = frequent_pieces(spec_json) if is_byte_level(json.loads(spec_json)) else {}
-            self.shared = spark.sparkContext.broadcast(("json", spec_json, first))
+        with open(path, "rb") as f:
+            data = f.read()
+        known = spark.sparkContext.applicationId, path.endswith(".model"), hashlib.sha256(data).digest()
+        if known not in _broadcasts:
+            for old in [k for k in _broadcasts if k[0] != known[0]]:
+                del _broadcasts[old]
+            _broadcasts[known] = spark.sparkContext.broadcast(self._contents(data, known[1]))
+        self.shared = _broadcasts[known]
         self.key, self.cache_entries = (spark.sparkContext.applicationId, self.shared._jbroadcast.id(), cache_entries), cache_entries
 
+    @staticmethod
+    def _contents(data: bytes, is_model: bool) -> tuple:
+        if is_model:
+            return "model", data, None
+        spec_json = data.decode()
+        return "json", spec_json, frequent_pieces(spec_json) if is_byte_level(json.loads(spec_json)) else {}
+
     def __getstate__(self):
         return {"shared": self.shared, "key": self.key, "cache_entries": self.cache_entries}
 

@@ -128,3 +128,14 @@ def test_ranks_are_whole_when_salted(spark):
     rows = [(i, 0, 3) for i in range(500)] + [(None, 0, 3)] * 5 + [(7, 0, 3)] * 5
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, length long"), 10, rows_per_group=20).collect()
     assert len(got) == 510 and len({(r.sequence_id, r.offset) for r in got}) == 510 and len({r.sequence_id for r in got}) == 170
+
+
+def test_a_tokenizer_is_read_and_broadcast_once(spark, monkeypatch):
+    read = []
+    pieces = token_count.frequent_pieces
+    monkeypatch.setattr(token_count, "_broadcasts", {})
+    monkeypatch.setattr(token_count, "frequent_pieces", lambda spec: read.append(1) or pieces(spec))
+    path = token_count.tokenizer_path()
+    one, other = token_count.SharedTokenizer(spark, path), token_count.SharedTokenizer(spark, path, 100)
+    assert one.shared is other.shared and len(read) == 1 and one.key != other.key
+    assert one.encoder().ids("the word") == other.encoder().ids("the word")
